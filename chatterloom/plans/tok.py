@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from chatterloom.operators import lexer as L
 from chatterloom.operators import segment as S
 from chatterloom.operators import tokenize as T
+from chatterloom.operators.scale import cut_lineage
 from chatterloom.plans.registry import query
-from chatterloom.plans.txt import documents, sql_list
+from chatterloom.plans.txt import MOVED_SQL, documents, sql_list
 
 MIN_WORD, MIN_PAIR = 5, 10
 PREFIXES = ["the", "la", "der", "die", "el", "is", "le"]
@@ -53,25 +54,26 @@ def tok_01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tok_02_tokenize")
 def tok_02(spark: SparkSession, d: str) -> DataFrame:
-    frequencies = word_frequencies(spark, d)
+    frequencies = cut_lineage(word_frequencies(spark, d))
     return T.tokenize(documents(spark, d), "doc_id", "text", lexicon_of(frequencies), frequencies)
 
 
 @query(
     "tok_03_candidate_words",
     f"""WITH {PHRASES},
-    spans AS (SELECT doc_id, pos, i - 1 AS start, 1 AS len, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM syllables)
-      UNION ALL SELECT doc_id, pos, i - 1, 2, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM syllables))
+    keyed AS (SELECT doc_id, pos, regexp_split_to_array({MOVED_SQL.format('phrase')}, ' +') AS w FROM phrases),
+    spans AS (SELECT doc_id, pos, i - 1 AS start, 1 AS len, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM keyed)
+      UNION ALL SELECT doc_id, pos, i - 1, 2, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM keyed))
     SELECT s.doc_id, s.pos, s.start, s.len, s.word, CASE s.len WHEN 1 THEN 100 ELSE 50 END AS weight
     FROM spans s JOIN lexicon l ON s.word = l.word""",
 )
 def tok_03(spark: SparkSession, d: str) -> DataFrame:
-    return S.candidate_words(phrases(spark, d), ["doc_id", "pos"], "phrase", lexicon_of(word_frequencies(spark, d)))
+    return S.candidate_words(phrases(spark, d), ["doc_id", "pos"], "phrase", cut_lineage(lexicon_of(word_frequencies(spark, d))))
 
 
 @query("tok_05_segment_phrases")
 def tok_05(spark: SparkSession, d: str) -> DataFrame:
-    frequencies = word_frequencies(spark, d)
+    frequencies = cut_lineage(word_frequencies(spark, d))
     found = S.segment_phrases(phrases(spark, d), ["doc_id", "pos"], "phrase", lexicon_of(frequencies), frequencies)
     return found.select("doc_id", "pos", "weight", F.array_join("words", "|").alias("words"))
 
@@ -112,7 +114,7 @@ def tok_06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tok_07_first_segmentation")
 def tok_07(spark: SparkSession, d: str) -> DataFrame:
-    lexicon = lexicon_of(word_frequencies(spark, d))
+    lexicon = cut_lineage(lexicon_of(word_frequencies(spark, d)))
     found = S.segment_phrases(phrases(spark, d), ["doc_id", "pos"], "phrase", lexicon)
     return found.select("doc_id", "pos", "weight", F.array_join("words", "|").alias("words"))
 

@@ -202,13 +202,13 @@ def _seeded(text: F.Column) -> F.Column:
 _SEEDED_SQL = "text"
 for _old, _new in TONE_SEED:
     _SEEDED_SQL = f"replace({_SEEDED_SQL}, '{_old}', '{_new}')"
-_MOVED_SQL = "{}"
+MOVED_SQL = "{}"
 for _old, _new in V.TONE_MARK_RULES:
-    _MOVED_SQL = f"replace({_MOVED_SQL}, '{_old}', '{_new}')"
-_simple("txt_15_move_tone_marks", _MOVED_SQL.format(_SEEDED_SQL), lambda t: X.move_tone_marks(_seeded(t)), pages=False)
+    MOVED_SQL = f"replace({MOVED_SQL}, '{_old}', '{_new}')"
+_simple("txt_15_move_tone_marks", MOVED_SQL.format(_SEEDED_SQL), lambda t: X.move_tone_marks(_seeded(t)), pages=False)
 _simple(
     "txt_16_phrase_key",
-    _MOVED_SQL.format(f"(lower(left({_SEEDED_SQL}, 1)) || substr({_SEEDED_SQL}, 2))"),
+    MOVED_SQL.format(f"(lower(left({_SEEDED_SQL}, 1)) || substr({_SEEDED_SQL}, 2))"),
     lambda t: X.phrase_key(_seeded(t)),
     pages=False,
 )

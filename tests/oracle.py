@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import datetime
 import decimal
 import sys
@@ -54,8 +55,8 @@ def compare(spark, con, name: str, run, sql: str | None, sf_dir: str) -> tuple[b
         return False, f"{name}: columns {sorted(df.columns)} != {sorted(columns)}"
     ours, theirs = normal(df.columns, rows), normal(columns, expected)
     if ours != theirs:
-        extra = [r for r in ours if r not in set(theirs)][:3]
-        missing = [r for r in theirs if r not in set(ours)][:3]
+        left, right = collections.Counter(ours), collections.Counter(theirs)
+        extra, missing = list((left - right).elements())[:3], list((right - left).elements())[:3]
         return False, f"{name}: {len(ours)} rows vs {len(theirs)}\n  ours only {str(extra)[:600]}\n  sql only {str(missing)[:600]}"
     return True, f"{name}: ok {len(rows)} rows spark {spent:.1f}s sql {duck:.1f}s"
 
