@@ -35,6 +35,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread_few_files(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table of fewer files than cores; larger tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Keep the row with the highest ``order`` per key; ``max_by`` combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c != order]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatterloom.functions import fixed_values as V
 from chatterloom.functions import text as X
 from chatterloom.operators import cleaning as C
+from chatterloom.operators.scale import spread_few_files
 from chatterloom.plans.registry import query, table
 
 # Lookups for the language of the given texts; each is an ordinary argument of its operator.
@@ -39,11 +40,12 @@ def stop_words(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread_few_files(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("text"))
+    pages = spread_few_files(table(spark, d, "pages").select("page_id", "url", "html"), "page_id")
+    return pages.select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("text"))
 
 
 PAGE_TEXTS = "page_texts AS (SELECT page_id AS doc_id, url || ' ' || html AS text FROM pages)"
