@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +31,12 @@ def small_rows(df: DataFrame, limit: int = INLINE_ROWS) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+def small_table(df: DataFrame, limit: int = BROADCAST_ROWS) -> pd.DataFrame | None:
+    """A lookup as a local table if it has at most ``limit`` rows, else ``None``."""
+    table = df.limit(limit + 1).toPandas()
+    return table if len(table) <= limit else None
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a bounded row count; otherwise leave the join to AQE."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -470,6 +470,6 @@ def cor_03_folder(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tok_13_tokenize_folder")
 def tok_13(spark: SparkSession, d: str) -> DataFrame:
-    frequencies = cut_lineage(word_frequencies(spark, d))
+    lexicon = cut_lineage(lexicon_of(word_frequencies(spark, d)))
     folder = written(document_lines(spark, d), F.col("line"), "doc_id", "i")
-    return directories.tokenize_folder(spark, folder, scratch(spark), cut_lineage(lexicon_of(frequencies)), frequencies)
+    return directories.tokenize_folder(spark, folder, scratch(spark), lexicon, lexicon)

@@ -196,11 +196,9 @@ def sen_12(spark: SparkSession, d: str) -> DataFrame:
 @query("sen_13_lexicon_sentiment")
 def sen_13(spark: SparkSession, d: str) -> DataFrame:
     scores = cut_lineage(S.word_scores(S.term_scores(synsets(spark, d))))
-    frequencies = cut_lineage(word_frequencies(spark, d))
+    lexicon = cut_lineage(lexicon_of(word_frequencies(spark, d)))
     texts = talk_texts(spark, d).withColumn("text", F.lower("text"))
-    return S.lexicon_sentiment(
-        texts, "text_id", "text", scores, word_list(spark, NEGATIONS), lexicon_of(frequencies), frequencies
-    )
+    return S.lexicon_sentiment(texts, "text_id", "text", scores, word_list(spark, NEGATIONS), lexicon, lexicon)
 
 
 @query("sen_14_weak_label_rows")

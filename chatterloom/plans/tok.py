@@ -27,14 +27,15 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
 def word_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Single words and neighbouring pairs of the phrases, with their counts."""
     words = phrases(spark, d).select(F.split("phrase", " +").alias("w"))
-    following = F.slice("w", F.lit(2), F.size("w"))
-    pairs = F.filter(F.zip_with("w", following, lambda a, b: F.concat_ws(" ", a, b)), lambda p: F.contains(p, F.lit(" ")))
+    n = F.size("w") - 1
+    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
     return words.select(F.explode(F.concat("w", pairs)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
 def lexicon_of(frequencies: DataFrame) -> DataFrame:
+    """Frequent words and pairs with their counts: lexicon and frequency table in one."""
     pair = F.contains("word", F.lit(" "))
-    return frequencies.where(F.col("freq") >= F.when(pair, MIN_PAIR).otherwise(MIN_WORD)).select("word")
+    return frequencies.where(F.col("freq") >= F.when(pair, MIN_PAIR).otherwise(MIN_WORD))
 
 
 PHRASES = r"""pieces AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(text), '[\x00-\x20]+', ' ', 'g'), '[^\p{L} ]+') AS p FROM documents),
@@ -54,8 +55,8 @@ def tok_01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tok_02_tokenize")
 def tok_02(spark: SparkSession, d: str) -> DataFrame:
-    frequencies = cut_lineage(word_frequencies(spark, d))
-    return T.tokenize(documents(spark, d), "doc_id", "text", lexicon_of(frequencies), frequencies)
+    lexicon = cut_lineage(lexicon_of(word_frequencies(spark, d)))
+    return T.tokenize(documents(spark, d), "doc_id", "text", lexicon, lexicon)
 
 
 @query(
@@ -73,8 +74,8 @@ def tok_03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tok_05_segment_phrases")
 def tok_05(spark: SparkSession, d: str) -> DataFrame:
-    frequencies = cut_lineage(word_frequencies(spark, d))
-    found = S.segment_phrases(phrases(spark, d), ["doc_id", "pos"], "phrase", lexicon_of(frequencies), frequencies)
+    lexicon = cut_lineage(lexicon_of(word_frequencies(spark, d)))
+    found = S.segment_phrases(phrases(spark, d), ["doc_id", "pos"], "phrase", lexicon, lexicon)
     return found.select("doc_id", "pos", "weight", F.array_join("words", "|").alias("words"))
 
 
