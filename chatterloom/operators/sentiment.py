@@ -258,7 +258,8 @@ def sentence_scores(
     scored = rows.where(~F.col("_neg")).join(lookup, "word")
     signed = F.when(F.col("_flip"), -F.col("_c")).otherwise(F.col("_c"))
     sums = scored.groupBy(row_id).agg(F.sum(signed).alias("_s"), F.count("*").alias("_n"))
-    mean = F.signum("_s") * F.floor((2 * F.abs("_s") + F.col("_n")) / (2 * F.col("_n"))) / 100
+    # Whole-number sign: a mean that rounds to zero must not become minus zero.
+    mean = F.signum("_s").cast("bigint") * F.floor((2 * F.abs("_s") + F.col("_n")) / (2 * F.col("_n"))) / 100
     joined = texts.select(row_id).join(sums.select(row_id, mean.alias("_mean")), row_id, "left")
     return joined.select(row_id, F.coalesce("_mean", F.lit(0.0)).alias("score"))
 

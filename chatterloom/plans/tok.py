@@ -134,7 +134,12 @@ def tok_08(spark: SparkSession, d: str) -> DataFrame:
     return T.token_line(tokens, "doc_id")
 
 
-@query("tok_09_split_sentences")
+@query(
+    "tok_09_split_sentences",
+    r"""WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts
+      FROM documents)
+    SELECT doc_id, i - 1 AS sentence, parts[i] AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM cut)""",
+)
 def tok_09(spark: SparkSession, d: str) -> DataFrame:
     return T.split_sentences(documents(spark, d), "doc_id", "text")
 

@@ -103,6 +103,9 @@ def test_sentence_scores_hand_worked(spark, words_df, inline):
     scores = spark.createDataFrame([("good", 0.5), ("ok", 0.25), ("neg", 0.9)], "word string, score double")
     got = {r["id"]: r["score"] for r in S.sentence_scores(df, "id", "t", scores, words_df(["neg"]), inline).collect()}
     assert got == {1: -0.13, 2: -0.5, 3: 0.5, 4: 0.0, 5: 0.5, 6: 0.33}
+    tiny = spark.createDataFrame([(1, "a b b")], "id bigint, t string")
+    cents = spark.createDataFrame([("a", -0.03), ("b", 0.01)], "word string, score double")
+    assert str(S.sentence_scores(tiny, "id", "t", cents, words_df(["neg"]), inline).first()["score"]) == "0.0"
 
 
 @pytest.mark.parametrize("inline", [1000, 0])
