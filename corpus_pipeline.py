@@ -1,24 +1,44 @@
-"""Pipeline over the documents: each stage works on all that the one before it kept."""
+"""Pipeline over the documents: each stage works on all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Each result is
+written to the shared folder and read again, so a lost executor costs at most one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatterloom.llm import blob_ledger
+from chatterloom.llm import blob_ledger, decontaminate, mixing
 from chatterloom.llm.shared import stored, table
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat benchmark passages go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text."""
     return blob_ledger.redact_documents(docs)
 
 
-STAGES = [("secret_scans", mask_secrets)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with the number of copies."""
+    return mixing.mix_documents(docs).where(F.col("copies") > 0)
+
+
+STAGES = [
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scans", mask_secrets),
+    ("mixing_sources", mix_sources),
+]
+# Toxicity is a trained model, which SQL can't express; tests compare the stages with plain Python instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder and read again."""
+    """All stages over the documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
