@@ -9,10 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatterloom.llm import blob_ledger, decontaminate, mixing
+from chatterloom.llm import blob_ledger, decontaminate, mixing, near_dups, toxicity
 from chatterloom.llm.shared import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (shingles of five words, similarity 0.8) one document stays."""
+    return near_dups.without_near_duplicates(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat benchmark passages go."""
     return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -29,6 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", drop_contaminated),
     ("secret_scans", mask_secrets),
     ("mixing_sources", mix_sources),
