@@ -200,11 +200,15 @@ def shortest_distances(edges: DataFrame, u: int) -> DataFrame:
 
 
 def tight_edges(edges: DataFrame, distances: DataFrame, tolerance: float = V.PATH_TOLERANCE) -> DataFrame:
-    """Edges that lie on some shortest path: dist(src) + weight = dist(dst)."""
+    """Edges that lie on some shortest path: dist(src) + weight = dist(dst), and farther from the start.
+
+    The second condition keeps weights below the tolerance, in both directions, from making a cycle.
+    """
     start = distances.select(F.col("id").alias("src"), F.col("dist").alias("_a"))
     end = distances.select(F.col("id").alias("dst"), F.col("dist").alias("_b"))
     joined = _lightest(edges).join(start, "src").join(end, "dst")
-    return joined.where(F.abs(F.col("_a") + F.col("weight") - F.col("_b")) < tolerance).select("src", "dst", "weight")
+    on_path = F.abs(F.col("_a") + F.col("weight") - F.col("_b")) < tolerance
+    return joined.where(on_path & (F.col("_a") < F.col("_b"))).select("src", "dst", "weight")
 
 
 def shortest_path_tree(edges: DataFrame, u: int) -> DataFrame:

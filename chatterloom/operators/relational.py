@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.operators.scale import INLINE_ROWS, NEST_ROWS, broadcast_if_small, split_left_join
+from chatterloom.operators.scale import INLINE_ROWS, NEST_ROWS, broadcast_if_small, cut_lineage, global_rank, hot_keys, split_left_join
 
 POST_KEY = ["page_id", "post_id"]
-INDEX_BLOCK = 1_000_000
 
 
 def posts_of_pages(posts: DataFrame, pages: Sequence[int] | DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -32,14 +31,9 @@ def posts_of_pages(posts: DataFrame, pages: Sequence[int] | DataFrame, start: st
     return posts
 
 
-def _part(comment_id: str = "comment_id", size: int = NEST_ROWS) -> Column:
-    """Comments of one post are cut into runs of ids, so no group exceeds ``size`` rows."""
-    return F.floor(F.col(comment_id) / size)
-
-
 def post_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Every post with each of its comments; posts without comments stay, with nulls."""
-    return split_left_join(posts, comments, POST_KEY, _part(), "_part").drop("_part")
+    """Every post with each of its comments, whatever their ids; posts without comments stay, with nulls."""
+    return split_left_join(posts, comments, POST_KEY)
 
 
 def dated(content: Column, date_time: Column) -> Column:
@@ -53,38 +47,35 @@ def parse_date(text: Column) -> Column:
 
 
 def number_posts(posts: DataFrame, page: str = "page_id", post: str = "post_id", name: str = "index") -> DataFrame:
-    """Number the posts of a page from 0 in order of their id.
-
-    Ids are unique per page, so a run of ids holds at most ``INDEX_BLOCK`` posts: the window
-    works on runs, and only one count per run is summed over the page.
-    """
-    from chatterloom.operators.scale import running_sum
-
-    return running_sum(posts, [page], post, F.lit(1), name, INDEX_BLOCK)
+    """Number the posts of a page from 0 in order of their id, however the ids are spread; a null page is a page."""
+    return global_rank(posts, [F.col(post)], [page], name, start=0)
 
 
 def nest_comments(posts: DataFrame, comments: DataFrame, size: int = NEST_ROWS) -> DataFrame:
-    """One record per post with its comments in id order.
+    """One record per post with its comments in id order (null ids first).
 
-    A post with more than ``size`` comment ids continues in further rows (``part`` 1, 2, ...), so
-    a single hot post neither fills one task nor one row; no comment is lost. Comments are nested
-    before they meet the posts.
+    A post with more than ``size`` comments continues in further rows (``part`` 1, 2, ...), so a single hot post
+    neither fills one task nor one row. Parts follow the position of a comment in its post, not its id; only comments of such posts are
+    ranked for it. Comments are nested before they meet the posts; none is lost, whatever its id.
     """
-    nested = (
-        comments.where(F.col("comment_content").isNotNull())
-        .withColumn("part", _part(size=size))
-        .groupBy(*POST_KEY, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("comment_id", F.col("comment_content").alias("text")))).alias("comments"))
-    )
-    parts = nested.select(*POST_KEY, "part")
-    joined = posts.join(parts, POST_KEY, "left").join(nested, [*POST_KEY, "part"], "left")
+    filled = comments.where(F.col("comment_content").isNotNull())
+    hot = cut_lineage(hot_keys(filled, POST_KEY, size)).select(*POST_KEY)
+    placed = filled.withColumn("part", F.lit(0).cast("bigint"))
+    if not hot.isEmpty():
+        keys = broadcast_if_small(hot)
+        order = [F.col("comment_id").asc_nulls_first(), F.col("comment_content")]
+        many = global_rank(filled.join(keys, POST_KEY, "left_semi"), order, POST_KEY, "part", start=0)
+        placed = placed.join(keys, POST_KEY, "left_anti").unionByName(many.withColumn("part", F.floor(F.col("part") / size)))
+    own = F.struct("comment_id", F.col("comment_content").alias("text"))
+    nested = placed.groupBy(*POST_KEY, "part").agg(F.sort_array(F.collect_list(own)).alias("comments"))
     none = F.array().cast("array<struct<comment_id:bigint,text:string>>")
     comments_column = F.coalesce(F.col("comments").cast("array<struct<comment_id:bigint,text:string>>"), none)
+    joined = posts.join(nested, POST_KEY, "left")
     return joined.withColumn("comments", comments_column).withColumn("part", F.coalesce("part", F.lit(0)))
 
 
 def unnest_texts(nested: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One text per row: the post (kind ``status``) and each comment (kind ``comment``).
+    """One text per row: the post (kind ``status``, from its part 0) and each comment (kind ``comment``).
 
     Both come out of one pass over the record, so nothing is read or shuffled twice.
     """

@@ -17,6 +17,8 @@ INLINE_ROWS = 5_000
 BROADCAST_ROWS = 500_000
 # Most comments (or tokens) nested into one output row.
 NEST_ROWS = 10_000
+# Right rows of one key from which a left join is cut into parts.
+SPLIT_ROWS = 1_000_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,6 +50,16 @@ def spread_few_files(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal names in which null meets null; the columns of ``left``, then the other ones of ``right``."""
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for key, name in names.items():
+        condition = condition & left[key].eqNullSafe(right[name])
+    return left.join(right, condition, how).drop(*names.values())
+
+
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Keep the row with the highest ``order`` per key; ``max_by`` combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c != order]
@@ -81,25 +93,33 @@ def global_rank(
     ranked = placed.join(F.broadcast(starts), "_slice").withColumn("_at", F.col("_start") + F.col("_row"))
     if groups:
         first = ranked.groupBy(*groups).agg(F.min("_at").alias("_first"))
-        ranked = ranked.join(first, groups).withColumn("_at", F.col("_at") - F.col("_first"))
+        ranked = join_null_safe(ranked, first, groups).withColumn("_at", F.col("_at") - F.col("_first"))
     return ranked.withColumn(name, F.col("_at") + F.lit(start)).drop(
         "_slice", "_row", "_start", "_at", "_first"
     )
 
 
-def split_left_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], part: Column, part_name: str = "part"
-) -> DataFrame:
-    """Left outer join whose right side may hold one very hot key.
+def hot_keys(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """Keys with more than ``size`` rows and in how many parts of about that size (``parts``) they go."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
+    return counted.select(*keys, F.ceil(F.col("_n") / size).alias("parts"))
+
+
+def split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int = SPLIT_ROWS) -> DataFrame:
+    """Left outer join whose right side may hold very hot keys.
 
-    AQE cannot split the right side of a left outer join, so the hot key is split by ``part``, a
-    function of right columns: the left side first learns which parts each key has (key columns
-    only, combined before the shuffle), then both sides meet on key and part.
+    AQE cannot split the right side of a left outer join. Keys of more than ``size`` right rows are cut into parts by a
+    hash of all columns; their left rows meet each part, and of those copies only the ones with a partner stay. All
+    other keys are joined as they are. Null keys meet nothing.
     """
     keys = list(keys)
-    right = right.withColumn(part_name, part)
-    parts = right.select(*keys, part_name).distinct()
-    return left.join(parts, keys, "left").join(right, [*keys, part_name], "left")
+    hot = broadcast_if_small(cut_lineage(hot_keys(right, keys, size)))
+    part = F.coalesce(F.pmod(F.xxhash64(*right.columns), F.col("parts")), F.lit(0))
+    cut = right.join(hot, keys, "left").withColumn("_part", part).withColumn("_there", F.lit(True)).drop("parts")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))
+    spread = left.join(hot, keys, "left").withColumn("_part", copies)
+    joined = spread.join(cut, [*keys, "_part"], "left").where(F.col("parts").isNull() | F.col("_there"))
+    return joined.drop("parts", "_part", "_there")
 
 
 def lagged(
@@ -144,7 +164,7 @@ def running_sum(
     inside = Window.partitionBy(*group, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     return (
         blocked.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-        .join(carry, [*group, "_b"])
+        .transform(lambda df: join_null_safe(df, carry, [*group, "_b"]))
         .withColumn(name, F.col("_in") + F.col("_carry"))
         .drop("_v", "_b", "_in", "_carry")
     )

@@ -146,6 +146,58 @@ def rel_06(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Line items with ids as they may come from outside: sparse 64-bit numbers, repeats, and null for one line number.
+ODD_COMMENTS = """comments AS (SELECT l_orderkey % 20 AS page_id, l_orderkey AS post_id,
+  CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN l_partkey % 2 ELSE CAST(l_partkey AS BIGINT) * 1000003 END AS comment_id,
+  concat_ws(' ', l_returnflag, l_linestatus, CAST(l_partkey AS VARCHAR)) AS comment_content FROM lineitem)"""
+
+
+def odd_comments(spark: SparkSession, d: str) -> DataFrame:
+    line, item = F.col("l_linenumber"), F.col("l_partkey").cast("bigint")
+    odd = F.when(line == 3, F.lit(None)).when(line == 4, item % 2).otherwise(item * 1000003).cast("bigint")
+    text = F.concat_ws(" ", "l_returnflag", "l_linestatus", F.col("l_partkey").cast("string"))
+    return table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % PAGES).alias("page_id"), F.col("l_orderkey").alias("post_id"), odd.alias("comment_id"), text.alias("comment_content")
+    )
+
+
+@query(
+    "rel_01_odd_ids",
+    f"""WITH {POSTS}, {ODD_COMMENTS}
+    SELECT p.page_id, p.post_id, c.comment_id, c.comment_content
+    FROM posts p LEFT JOIN comments c ON p.page_id = c.page_id AND p.post_id = c.post_id""",
+)
+def rel_01_odd(spark: SparkSession, d: str) -> DataFrame:
+    joined = R.post_comments(order_posts(spark, d), odd_comments(spark, d))
+    return joined.select("page_id", "post_id", "comment_id", "comment_content")
+
+
+@query(
+    "rel_05_odd_ids",
+    f"""WITH {POSTS}, {ODD_COMMENTS}
+    SELECT p.page_id, p.post_id, coalesce(n.n_comments, 0) AS n_comments, coalesce(n.comments, '') AS comments
+    FROM posts p LEFT JOIN (SELECT page_id, post_id, count(*) AS n_comments,
+      string_agg(coalesce(CAST(comment_id AS VARCHAR), '-') || ':' || comment_content, '|' ORDER BY comment_id NULLS FIRST, comment_content) AS comments
+      FROM comments GROUP BY page_id, post_id) n ON p.page_id = n.page_id AND p.post_id = n.post_id""",
+)
+def rel_05_odd(spark: SparkSession, d: str) -> DataFrame:
+    nested = R.nest_comments(order_posts(spark, d), odd_comments(spark, d))
+    shown = F.transform("comments", lambda c: F.concat(F.coalesce(c["comment_id"].cast("string"), F.lit("-")), F.lit(":"), c["text"]))
+    return nested.select("page_id", "post_id", F.size("comments").cast("bigint").alias("n_comments"), F.array_join(shown, "|").alias("comments"))
+
+
+@query(
+    "rel_11_odd_ids",
+    f"""WITH {POSTS}, {ODD_COMMENTS}
+    SELECT post_id AS doc_id, 'status' AS kind, NULL::BIGINT AS comment_id, post_content AS text FROM posts
+    UNION ALL SELECT c.post_id, 'comment', c.comment_id, c.comment_content FROM comments c JOIN posts p USING (page_id, post_id)""",
+)
+def rel_11_odd(spark: SparkSession, d: str) -> DataFrame:
+    """Posts in parts of about three comments: each post text once, each comment once."""
+    nested = R.nest_comments(order_posts(spark, d), odd_comments(spark, d), size=3)
+    return R.unnest_texts(nested.select(F.col("post_id").alias("doc_id"), "part", F.col("post_content").alias("status"), "comments"))
+
+
 @query("rel_07_list_pages", "SELECT page_id, url AS website FROM pages")
 def rel_07(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.col("url").alias("website"))

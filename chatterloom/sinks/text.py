@@ -129,7 +129,9 @@ def write_topic_lines(described: DataFrame, item: str, path: str) -> None:
 
 def chart_json(shares: DataFrame) -> DataFrame:
     """``[["Label", "Percent"],["x", 3],...]`` in label order, from a table of one row per label."""
-    cell = F.concat(F.lit('["'), F.col("label").cast("string"), F.lit('", '), F.col("percent").cast("string"), F.lit("]"))
+    # A one-element array as JSON, without its brackets, is the label quoted and escaped.
+    quoted = F.regexp_replace(F.to_json(F.array(F.coalesce(F.col("label").cast("string"), F.lit("null")))), r"^\[|\]$", "")
+    cell = F.concat(F.lit("["), quoted, F.lit(", "), F.col("percent").cast("string"), F.lit("]"))
     cells = shares.agg(F.array_sort(F.collect_list(F.struct("label", cell.alias("cell")))).alias("_c"))
     joined = F.array_join(F.concat(F.array(F.lit('["Label", "Percent"]')), F.transform("_c", lambda c: c["cell"])), ",")
     return cells.select(F.concat(F.lit("["), joined, F.lit("]")).alias("json"))

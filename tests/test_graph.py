@@ -72,3 +72,10 @@ def test_random_graph_equals_brute_force(spark, seed):
         assert t["level"] == (0 if t["parent"] is None else tree[t["parent"]]["level"] + 1)
     single = {r["id"]: r["dist"] for r in G.shortest_distances(edges, 0).collect()}
     assert single == {j: dist[0][j] for j in range(n) if dist[0][j] < inf}
+
+
+def test_tiny_two_way_weights_end(spark):
+    """Weights far below the tolerance in both directions must not make a cycle of shortest-path edges."""
+    edges = edges_df(spark, [(0, 1, 1e-12), (1, 0, 1e-12), (1, 2, 1.0), (2, 1, 1.0)])
+    assert {tuple(r["path"]) for r in G.all_shortest_paths(edges, 0, 2).collect()} == {(0, 1, 2)}
+    assert G.count_shortest_paths(edges, 0, 2).first()["n_paths"] == 1

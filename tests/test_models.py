@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from chatterloom.operators import ngram as N
 from chatterloom.operators import sentiment as S
 from chatterloom.operators import topics as P
-from chatterloom.operators.relational import nest_comments, number_posts, parse_date, post_comments
-from chatterloom.operators.scale import global_rank, lagged, running_sum
+from chatterloom.operators.relational import nest_comments, number_posts, parse_date, post_comments, unnest_texts
+from chatterloom.operators.scale import global_rank, lagged, running_sum, split_left_join
 
 
 def test_bigrams_hand_worked(spark):
@@ -84,6 +84,27 @@ def test_nesting(spark):
     assert post_comments(posts, comments).count() == 25 + 1 + 2
 
 
+def test_nesting_of_odd_ids(spark):
+    """Sparse, repeated and null ids: nothing is lost, the post text comes out once, parts keep their bound."""
+    posts = spark.createDataFrame([(1, 10, "p"), (None, 5, "n")], "page_id bigint, post_id bigint, post_content string")
+    ids = [20000, 20001, 90000, None, None, 7, 7, 1 << 60]
+    comments = spark.createDataFrame([(1, 10, c, f"c{i}") for i, c in enumerate(ids)], "page_id bigint, post_id bigint, comment_id bigint, comment_content string")
+    assert len([r for r in nest_comments(posts, comments).collect() if r["post_id"] == 10]) == 1
+    parts = nest_comments(posts, comments, size=3)
+    assert sorted(len(r["comments"]) for r in parts.collect()) == [0, 2, 3, 3]
+    texts = unnest_texts(parts.selectExpr("post_id AS doc_id", "part", "post_content AS status", "comments")).collect()
+    assert sorted(r["text"] for r in texts) == sorted([f"c{i}" for i in range(len(ids))] + ["p", "n"])
+    for size in (1_000_000, 3):
+        joined = split_left_join(posts, comments, ["page_id", "post_id"], size).collect()
+        assert sorted(str(r["comment_content"]) for r in joined) == sorted([f"c{i}" for i in range(len(ids))] + ["None"])
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(None, 0, 5), (None, 1, 6), (1, 0, 7)], "g bigint, pos bigint, v bigint")
+    assert {(r["g"], r["pos"]): r["s"] for r in running_sum(df, ["g"], "pos", F.col("v"), "s").collect()} == {(None, 0): 0, (None, 1): 5, (1, 0): 0}
+    assert {(r["g"], r["pos"]): r["rank"] for r in global_rank(df, [F.col("pos")], ["g"]).collect()} == {(None, 0): 1, (None, 1): 2, (1, 0): 1}
+
+
 def test_bad_dates_are_null(spark):
     df = spark.createDataFrame([("2016-01-02T10:00",), ("soon",)], "d string")
     assert [str(r[0])[:10] for r in df.select(parse_date(F.col("d"))).collect()] == ["2016-01-02", "None"]
