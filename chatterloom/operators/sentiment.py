@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chatterloom.functions import fixed_values as V
 from chatterloom.functions import text as X
-from chatterloom.operators.cleaning import clean_text, remove_stop_words
+from chatterloom.operators.cleaning import clean_text, normal_words, remove_stop_words
 from chatterloom.operators.relational import unnest_texts
 from chatterloom.operators.scale import INLINE_ROWS, broadcast_if_small, small_rows
 from chatterloom.operators.tokenize import token_line, tokenize
@@ -77,18 +77,20 @@ def inverse_document_frequency(docs: DataFrame, row_id: str, tokens: str = "toke
 
 
 def has_opinion(df: DataFrame, row_id: str, tokens: str, opinion_words: DataFrame, inline_rows: int = INLINE_ROWS) -> DataFrame:
-    """Flag ``gated_in``: does the row use any opinion word?"""
-    words = small_rows(opinion_words.select("word"), inline_rows)
+    """Flag ``gated_in``: does the row use any opinion word? False for null tokens."""
+    opinion_words = normal_words(opinion_words)
+    words = small_rows(opinion_words, inline_rows)
     if words is not None:
         listed = [r["word"] for r in words]
-        return df.withColumn("gated_in", F.exists(tokens, lambda t: t.isin(listed)))
+        return df.withColumn("gated_in", F.coalesce(F.exists(tokens, lambda t: t.isin(listed)), F.lit(False)))
     hits = (
-        df.select(row_id, F.explode(tokens).alias("_w"))
-        .join(opinion_words.select(F.col("word").alias("_w")).distinct(), "_w", "left_semi")
-        .select(row_id, F.lit(True).alias("gated_in"))
+        df.select(F.col(tokens).alias("_tokens")).distinct()
+        .select("_tokens", F.explode("_tokens").alias("_w"))
+        .join(opinion_words.select(F.col("word").alias("_w")), "_w", "left_semi")
+        .select("_tokens", F.lit(True).alias("gated_in"))
         .distinct()
     )
-    return df.join(hits, row_id, "left").withColumn("gated_in", F.coalesce("gated_in", F.lit(False)))
+    return df.join(hits, df[tokens] == hits["_tokens"], "left").withColumn("gated_in", F.coalesce("gated_in", F.lit(False))).drop("_tokens")
 
 
 def label_of(gated_in: Column, prediction: Column) -> Column:
@@ -103,9 +105,9 @@ def score_type(score: Column) -> Column:
 
 
 def classify(texts: DataFrame, row_id: str, text: str, model: PipelineModel, lookups: Lookups) -> DataFrame:
-    """Adds ``label`` to texts whose words are blank separated."""
-    lowered = texts.withColumn("_t", F.lower(F.col(text)))
-    kept = remove_stop_words(lowered, row_id, "_t", lookups.stop_words).withColumn("tokens", _word_array(F.col("_t")))
+    """Adds ``label`` to texts whose words are blank separated: stop words go, then the rest is lower-cased."""
+    kept = remove_stop_words(texts.withColumn("_t", F.col(text)), row_id, "_t", lookups.stop_words)
+    kept = kept.withColumn("tokens", _word_array(F.lower("_t")))
     gated = has_opinion(kept, row_id, "tokens", lookups.opinion_words)
     labelled = model.transform(gated).withColumn("label", label_of(F.col("gated_in"), F.col("prediction")))
     return labelled.select(*texts.columns, "label")
@@ -123,8 +125,12 @@ def _tokenised(texts: DataFrame, row_id: str, text: str, lookups: Lookups) -> Da
 def analyse_texts(
     texts: DataFrame, row_id: str, text: str, model: PipelineModel, lookups: Lookups, clean: bool = True
 ) -> DataFrame:
-    """Lower case, clean, tokenise, classify; the given text column stays as it was."""
-    work = texts.withColumn("_work", F.lower(F.col(text)))
+    """Clean, tokenise, drop stop words, lower-case and classify; the given text column stays as it was.
+
+    Capitals live until the words are found: emoticons such as ``:D``, names and titles need them. Only the variant without
+    cleaning lower-cases first.
+    """
+    work = texts.withColumn("_work", F.col(text) if clean else F.lower(F.col(text)))
     if clean:
         work = clean_text(work, row_id, "_work", lookups.emoticons, lookups.emoji, lookups.spelling)
         work = work.withColumn("_work", X.urls_and_symbols_to_blank(X.digits_to_blank(F.col("_work"))))
@@ -244,12 +250,13 @@ def sentence_scores(
     before = F.slice(F.concat(F.array(F.lit("")), words), 1, F.size(words))
     pairs = F.zip_with(before, words, lambda a, b: F.struct(a.alias("before"), b.alias("word")))
     rows = texts.select(row_id, F.inline(pairs))
-    listed = small_rows(negations.select("word"), inline_rows)
+    negations = normal_words(negations)
+    listed = small_rows(negations, inline_rows)
     if listed is not None:
         names = [r["word"] for r in listed]
         rows = rows.select("*", F.col("word").isin(names).alias("_neg"), F.col("before").isin(names).alias("_flip"))
     else:
-        own = negations.select("word", F.lit(True).alias("_n")).distinct()
+        own = negations.select("word", F.lit(True).alias("_n"))
         prior = own.select(F.col("word").alias("before"), F.col("_n").alias("_p"))
         rows = rows.join(own, "word", "left").join(prior, "before", "left")
         rows = rows.withColumn("_neg", F.coalesce("_n", F.lit(False))).withColumn("_flip", F.coalesce("_p", F.lit(False)))

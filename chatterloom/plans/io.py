@@ -429,7 +429,7 @@ def str_01_lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str_01_stream_labels")
 def str_01(spark: SparkSession, d: str) -> DataFrame:
-    model, lookups = sen.classifier(spark, d), sen.lookups(spark)
+    model, lookups = sen.classifier(spark, d), sen.lookups(spark, d)
     return _streamed(spark, d, lambda batch: S.analyse_texts(batch, "text_id", "text", model, lookups).select("text_id", "label"))
 
 

@@ -21,10 +21,13 @@ def word_list(spark: SparkSession, words: list[str]) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-def lookups(spark: SparkSession) -> S.Lookups:
+def lookups(spark: SparkSession, d: str) -> S.Lookups:
+    """All tables of the sentiment job; lexicon and frequencies come from the documents."""
+    frequencies = cut_lineage(lexicon_of(word_frequencies(spark, d)))
     return S.Lookups(
-        lookup(spark, EMOTICONS), lookup(spark, EMOJI), lookup(spark, SPELLING), stop_words(spark), word_list(spark, OPINION_WORDS)
-    )
+        lookup(spark, EMOTICONS), lookup(spark, EMOJI), lookup(spark, SPELLING), stop_words(spark), word_list(spark, OPINION_WORDS),
+        frequencies.select("word"), frequencies,
+    )
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +83,7 @@ def sen_04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sen_05_labels")
 def sen_05(spark: SparkSession, d: str) -> DataFrame:
-    return S.classify(talk_texts(spark, d), "text_id", "text", classifier(spark, d), lookups(spark)).select("text_id", "label")
+    return S.classify(talk_texts(spark, d), "text_id", "text", classifier(spark, d), lookups(spark, d)).select("text_id", "label")
 
 
 @query(
@@ -100,12 +103,12 @@ def _flat_report(df: DataFrame) -> DataFrame:
 
 @query("sen_07_report")
 def sen_07(spark: SparkSession, d: str) -> DataFrame:
-    return _flat_report(S.report(nested_talks(spark, d), classifier(spark, d), lookups(spark)))
+    return _flat_report(S.report(nested_talks(spark, d), classifier(spark, d), lookups(spark, d)))
 
 
 @query("sen_08_weighted_report")
 def sen_08(spark: SparkSession, d: str) -> DataFrame:
-    return _flat_report(S.report(nested_talks(spark, d), classifier(spark, d), lookups(spark), clean=False, post_weight=1.5))
+    return _flat_report(S.report(nested_talks(spark, d), classifier(spark, d), lookups(spark, d), clean=False, post_weight=1.5))
 
 
 def talk_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +138,7 @@ def talk_candidates(spark: SparkSession, d: str) -> DataFrame:
     SELECT text_id, text FROM four WHERE length(text) > 7""",
 )
 def sen_09(spark: SparkSession, d: str) -> DataFrame:
-    return S.training_candidates(talk_candidates(spark, d), "text_id", "text", lookups(spark))
+    return S.training_candidates(talk_candidates(spark, d), "text_id", "text", lookups(spark, d))
 
 
 # A sentiment lexicon made from the words of the documents: three synsets per frequent word.
@@ -203,7 +206,7 @@ def sen_13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sen_14_weak_label_rows")
 def sen_14(spark: SparkSession, d: str) -> DataFrame:
-    scored = S.label_candidates(talk_candidates(spark, d), "text_id", "text", classifier(spark, d), lookups(spark))
+    scored = S.label_candidates(talk_candidates(spark, d), "text_id", "text", classifier(spark, d), lookups(spark, d))
     return S.weak_labels(scored)
 
 
@@ -225,4 +228,4 @@ def sen_16(spark: SparkSession, d: str) -> DataFrame:
 def sen_17(spark: SparkSession, d: str) -> DataFrame:
     lines = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("line_id"), "line")
-    return S.classify(lines, "line_id", "line", classifier(spark, d), lookups(spark)).select("line_id", "label")
+    return S.classify(lines, "line_id", "line", classifier(spark, d), lookups(spark, d)).select("line_id", "label")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from chatterloom.functions import fixed_values as V
 from chatterloom.functions import text as X
 from chatterloom.operators import cleaning as C
+from chatterloom.operators import sentiment as S
 
 
 def one(spark, text, build):
@@ -96,3 +97,28 @@ def test_treebank_and_punctuation(spark):
 def test_names(spark):
     for word, wanted in [("Nam", True), ("Hà Nội", True), ("Hà nội", False), ("nam", False), ("12", True)]:
         assert one(spark, word, X.is_name) is wanted
+
+
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_lookup_size_changes_no_result(spark, inline):
+    """Repeated keys, case variants, null and empty keys, null texts and repeated row ids, whichever way is taken."""
+    rows = [(1, "Ko đi :) x"), (1, "Ko đi :) x"), (2, None), (3, ""), (4, "ko KO akok")]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    lookup = spark.createDataFrame([("ko", "aaa"), ("Ko", "không"), (None, "n"), ("", "e"), ("x", None), (":)", "a"), (":)", "vui")], "key string, value string")
+    spelled = sorted(str(r["t"]) for r in C.correct_spelling(df, "id", "t", lookup, inline).collect())
+    assert spelled == sorted(["không đi vui ", "không đi vui ", "None", "", "không không akok"])
+    smiled = sorted(str(r["t"]) for r in C.correct_emoticons(df, "id", "t", lookup.where("key = ':)' OR key IS NULL"), inline).collect())
+    assert smiled == sorted(["Ko đi vui x", "Ko đi vui x", "None", "", "ko KO akok"])
+    shown = sorted(str(r["t"]) for r in C.correct_emoji(df, "id", "t", lookup.where("key = ':)' OR key = ''"), inline).collect())
+    assert shown == sorted(["Ko đi vui  x", "Ko đi vui  x", "None", "", "ko KO akok"])
+
+
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_null_words_change_nothing(spark, inline):
+    rows = [(1, ["anh", "em", None, "xin"]), (1, ["anh", "em", None, "xin"]), (2, None), (3, [])]
+    df = spark.createDataFrame(rows, "id bigint, w array<string>")
+    words = spark.createDataFrame([("anh",), (None,), ("anh",)], "word string")
+    kept = sorted(str(r["w"]) for r in C.keep_tokens(df, "id", "w", words, 2, inline).collect())
+    assert kept == sorted(["['em', 'xin']", "['em', 'xin']", "None", "[]"])
+    gated = sorted((r["id"], r["gated_in"]) for r in S.has_opinion(df, "id", "w", words, inline).collect())
+    assert gated == [(1, True), (1, True), (2, False), (3, False)]
