@@ -293,18 +293,13 @@ def snk_08(spark: SparkSession, d: str) -> DataFrame:
     return files.read_lines(spark, path).select("value")
 
 
-LETTERS = "regexp_matches({}, '^[\\p{{L}}]+$')"
-
-
 @query(
     "snk_09_bigram_xml",
-    f"""WITH {lm.TOKENS}, {lm.BIGRAMS} SELECT first || ',' || second AS content, CAST(freq AS VARCHAR) AS msd FROM bigram
-    WHERE {LETTERS.format('first')} AND {LETTERS.format('second')}""",
+    f"""WITH {lm.TOKENS}, {lm.BIGRAMS} SELECT first || ',' || second AS content, CAST(freq AS VARCHAR) AS msd FROM bigram""",
 )
 def snk_09(spark: SparkSession, d: str) -> DataFrame:
-    pairs = lm.bigrams(spark, d).where(F.col("first").rlike(r"^\p{L}+$") & F.col("second").rlike(r"^\p{L}+$"))
     path = scratch(spark)
-    sinks.write_lexicon_xml(sinks.bigram_records(pairs), path)
+    sinks.write_lexicon_xml(sinks.bigram_records(lm.bigrams(spark, d)), path)
     return files.read_lexicon_xml(spark, path)
 
 
@@ -339,7 +334,7 @@ def _token_format_query(name: str, form: str, value: str) -> None:
 
 _token_format_query("snk_12_plain_tokens", "plain", "token")
 _token_format_query("snk_13_two_column_tokens", "2cols", "token || chr(9) || rule")
-_token_format_query("snk_14_xml_tokens", "xml", "'<w>' || token || '</w>'")
+_token_format_query("snk_14_xml_tokens", "xml", "'<w>' || replace(replace(replace(token, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</w>'")
 
 
 @query("snk_15_corpus_xml")

@@ -144,16 +144,17 @@ def tok_09(spark: SparkSession, d: str) -> DataFrame:
     return T.split_sentences(documents(spark, d), "doc_id", "text")
 
 
-TAGGED_TOKENS = r"""raw AS (SELECT doc_id, regexp_extract_all(text, '\p{Lu}\p{Ll}*(?: \p{Lu}\p{Ll}+)*|\p{Ll}+|[0-9]+[-/.][0-9]+|[0-9]+') AS t FROM documents),
+TAGGED_TOKENS = r"""raw AS (SELECT doc_id, regexp_extract_all(text, '\p{Lu}\p{Ll}*(?: \p{Lu}\p{Ll}+)*|\p{Ll}+|[0-9]+[-/.][0-9]+|[0-9]+|[^\x00-\x20]') AS t FROM documents),
 tokens AS (SELECT doc_id, i - 1 AS pos, t[i] AS token, CASE WHEN regexp_matches(t[i], '^\p{Lu}') THEN 'name2'
   WHEN regexp_matches(t[i], '^(?:19|20)[0-9][0-9]$') THEN 'date_yyyy' WHEN regexp_matches(t[i], '^[0-9]+$') THEN 'number1'
-  WHEN regexp_matches(t[i], '^[0-9]+/') THEN 'date_dd-mm' WHEN regexp_matches(t[i], '^[0-9]') THEN 'date_mm-yyyy' ELSE 'phrase' END AS rule
+  WHEN regexp_matches(t[i], '^[0-9]+/') THEN 'date_dd-mm' WHEN regexp_matches(t[i], '^[0-9]') THEN 'date_mm-yyyy'
+  WHEN regexp_matches(t[i], '^\p{L}') THEN 'phrase' ELSE 'special' END AS rule
   FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM raw))"""
 
 
 def tagged_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Names, words, numbers and date-like pieces of the documents with a rule name each."""
-    pattern = F.lit(r"\p{Lu}\p{Ll}*(?: \p{Lu}\p{Ll}+)*|\p{Ll}+|[0-9]+[-/.][0-9]+|[0-9]+")
+    """Names, words, numbers, date-like pieces and all other characters but blanks, with a rule name each."""
+    pattern = F.lit(r"\p{Lu}\p{Ll}*(?: \p{Lu}\p{Ll}+)*|\p{Ll}+|[0-9]+[-/.][0-9]+|[0-9]+|[^\x00-\x20]")
     t = F.col("token")
     rule = (
         F.when(t.rlike(r"^\p{Lu}"), "name2")
@@ -161,7 +162,8 @@ def tagged_tokens(spark: SparkSession, d: str) -> DataFrame:
         .when(t.rlike("^[0-9]+$"), "number1")
         .when(t.rlike("^[0-9]+/"), "date_dd-mm")
         .when(t.rlike("^[0-9]"), "date_mm-yyyy")
-        .otherwise("phrase")
+        .when(t.rlike(r"^\p{L}"), "phrase")
+        .otherwise("special")
     )
     tokens = documents(spark, d).select("doc_id", F.posexplode(F.regexp_extract_all("text", pattern, F.lit(0))).alias("pos", "token"))
     return tokens.withColumn("rule", rule)

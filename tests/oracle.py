@@ -45,7 +45,7 @@ def compare(spark, con, name: str, run, sql: str | None, sf_dir: str) -> tuple[b
     rows = [tuple(r) for r in df.collect()]
     spent = time.time() - started
     if sql is None:
-        return True, f"{name}: rows-only {len(rows)} rows {spent:.1f}s"
+        return bool(rows), f"{name}: rows-only {len(rows)} rows {spent:.1f}s"
     started = time.time()
     result = con.execute(sql)
     columns = [c[0] for c in result.description]
