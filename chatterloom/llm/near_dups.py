@@ -2,8 +2,8 @@
 
 A document is the set of its word shingles. Equal sets form one class with the smallest id as its
 representative. Each of ``TREES`` independent trees puts every representative under its minwise shingle; two sets of
-similarity s meet there with probability s. A node with few open members (those not yet in the component of
-its pivot) compares them with all of its members. A larger node compares its pivot only and branches on the
+similarity s meet there with probability s. A node with few open members (those outside its largest component so
+far) compares them with all of its members. A larger node compares a few pivots only and branches on the
 next minwise choice, until its members are one component or the node is small. Pairs that pass a 128-byte
 sketch are confirmed on the full sets.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.components import components
+from chatterloom.llm.components import components, packed
 from chatterloom.llm.shared import stored
 from chatterloom.operators.scale import broadcast_if_small, cut_lineage
 
@@ -36,6 +36,8 @@ SKETCH = 128
 LEAST_EQUAL = 84
 # Most open members of a node that are compared with all of it.
 SMALL = 32
+# Further members, besides one of its largest component, that a larger node compares with all of it.
+PIVOTS = 3
 LEVELS = 16
 
 _rng = np.random.default_rng(20)
@@ -160,6 +162,18 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """Nodes with several components: their largest one (``base``), pivots (one of it, others of any) and open members."""
+    inside = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"))
+    one = F.struct(F.col("first").alias("pivot"), F.col("comp").alias("own"))
+    others = [F.min(F.struct(F.xxhash64("node", "comp", F.lit(i)).alias("h"), one.alias("p"))) for i in range(PIVOTS)]
+    nodes = inside.groupBy("node").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", one.alias("p"))).alias("most"), F.array(*others).alias("others")
+    )
+    pivots = F.array_distinct(F.concat(F.array("most.p"), F.transform("others", lambda x: x["p"])))
+    return nodes.where(F.col("n") > F.col("most.n")).select("node", F.col("most.p.own").alias("base"), (F.col("n") - F.col("most.n")).alias("n_open"), pivots.alias("pivots"))
+
+
 def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
     """(node, component) of all representatives that have a link."""
     rows = cut_lineage(
@@ -169,21 +183,19 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH) ->
     )
     known = None
     for level in range(1, LEVELS + 1):
-        pick = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), F.col("rep").alias("pivot"), F.col("comp").alias("base"))).alias("p")
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), pick).where("n > 1").select("node", "p.pivot", "p.base")
-        met = rows.join(nodes, "node").withColumn("open", F.col("comp") != F.col("base"))
-        opened = met.groupBy("node").agg(F.sum(F.col("open").cast("long")).alias("n_open")).where("n_open > 0")
-        met = cut_lineage(met.join(opened, "node"))
-        small = met.where((F.col("n_open") <= SMALL) | F.lit(level == LEVELS))
-        one, other = small.where("open").select("node", F.col("rep").alias("x"), F.col("comp").alias("cx")), small.select("node", F.col("rep").alias("y"), F.col("comp").alias("cy"), "open")
+        met = packed(rows.join(_nodes(rows), "node").withColumn("open", F.col("comp") != F.col("base")))
+        # Deeper nodes are fewer, so more of their members may be compared.
+        is_small = (F.col("n_open") <= SMALL * level) | F.lit(level == LEVELS)
+        small, large = met.where(is_small), met.where(~is_small)
+        one = small.where("open").select("node", F.col("rep").alias("x"), F.col("comp").alias("cx"))
+        other = small.select("node", F.col("rep").alias("y"), F.col("comp").alias("cy"), "open")
         near = one.join(other, "node").where((F.col("cx") != F.col("cy")) & (~F.col("open") | (F.col("x") < F.col("y")))).select(*_pair("x", "y"))
-        large = met.where((F.col("n_open") > SMALL) & F.lit(level < LEVELS))
-        star = large.where(F.col("open")).select(*_pair("pivot", "rep"))
+        star = large.select("rep", "comp", F.explode("pivots").alias("p")).where(F.col("comp") != F.col("p.own")).select("rep", "p.pivot").select(*_pair("pivot", "rep"))
         pairs = near.unionAll(star).where("a < b").distinct()
-        links = confirmed(cut_lineage(_alike(pairs, classes)), docs, width)
+        links = confirmed(packed(_alike(pairs, classes)), docs, width)
         if known is not None:
             links = links.unionAll(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        known = cut_lineage(components(links))
+        known = packed(components(links))
         # Larger nodes branch on the next minwise choice, as far as their members are not one component by now.
         if level == LEVELS or large.limit(1).count() == 0:
             return known
@@ -191,7 +203,7 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH) ->
         down = large.select("node", "rep", "tree").join(classes.select("rep", "sketch"), "rep").join(
             known.select(F.col("node").alias("rep"), "component"), "rep", "left"
         )
-        rows = cut_lineage(down.select("rep", "tree", F.xxhash64("node", F.lit(level), by).alias("node"), F.coalesce("component", "rep").alias("comp")))
+        rows = packed(down.select("rep", "tree", F.xxhash64("node", F.lit(level), by).alias("node"), F.coalesce("component", "rep").alias("comp")))
     return known
 
 
