@@ -133,15 +133,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTA
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = TOTAL_SHARE, most: float = MOST_TIMES) -> DataFrame:
-    """The document rows with all their columns and, after them, mix_size, target, copies and taken.
+    """The document rows that the mix takes, with all their columns and mix_size, mix_target, mix_copies and mix_taken.
 
-    A document with no words is taken as often as its rank says, for it costs nothing.
+    A column of ``docs`` with such a name gives way. A document without words is taken as often as its rank says, for it costs
+    nothing.
     """
     rows = stored(ranked(docs.select("doc_id", "text", "source")).drop("text"), "mixing")
     planned = plan(rows, weights, share, most)
-    names = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
-    packed = docs.select("doc_id", "text", "source", F.struct(*names).alias("_rest")) if names else docs.select("doc_id", "text", "source")
-    met = mixed(ranked(packed), planned)
-    own = [F.col(f"_rest.{c}").alias(c) if c in names else F.col(c) for c in docs.columns]
-    added = {"mix_size": "size", "mix_target": "target", "copies": "copies", "mix_taken": "taken"}
-    return met.select(*own, *[F.col(c).alias(n) for n, c in added.items() if n not in docs.columns])
+    added = {"mix_size": "size", "mix_target": "target", "mix_copies": "copies", "mix_taken": "taken"}
+    names = [c for c in docs.columns if c not in ("doc_id", "text", "source", *added)]
+    packed = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("_"), *names).alias("_rest"))
+    met = mixed(ranked(packed), planned).where(F.col("copies") > 0)
+    own = [F.col(f"_rest.{c}").alias(c) if c in names else F.col(c) for c in docs.columns if c not in added]
+    return met.select(*own, *[F.col(c).alias(n) for n, c in added.items()])

@@ -7,7 +7,6 @@ written to the shared folder and read again, so a lost executor costs at most on
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chatterloom.llm import blob_ledger, decontaminate, mixing, near_dups, toxicity
 from chatterloom.llm.shared import stored, table
@@ -35,7 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the number of copies."""
-    return mixing.mix_documents(docs).where(F.col("copies") > 0)
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
