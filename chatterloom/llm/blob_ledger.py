@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.shared import let
+from chatterloom.llm.shared import let, stored
 
 RULE_VERSION = 1
 KINDS = ("assign", "access", "hex")
@@ -83,8 +83,12 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, text: str
 def secrets_of_paths(
     versions: DataFrame, keys: list[str], ledger: DataFrame | None = None, text: str = "text", rule_version: int = RULE_VERSION
 ) -> DataFrame:
-    """Every row of ``versions`` with its keys, blob and findings (an empty array if there are none)."""
-    known = scan_unseen(versions, ledger, text, rule_version)
+    """Every row of ``versions`` with its keys, blob and findings (an empty array if there are none).
+
+    The new ledger rows are a table before they meet the paths, so the paths of a frequent blob are dealt out apart from its scan
+    and AQE can split them.
+    """
+    known = stored(scan_unseen(versions, ledger, text, rule_version), "ledger")
     if ledger is not None:
         old = ledger.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
         known = known.unionByName(old.select("blob", "rule_version", "findings"))
@@ -111,7 +115,7 @@ def redacted(text: Column, found: Column) -> Column:
 
 def redact_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The documents with their secrets masked and ``n_chars`` set anew where that changed the text."""
-    known = scan_unseen(docs, ledger)
+    known = stored(scan_unseen(docs, ledger), "ledger")
     if ledger is not None:
         old = ledger.where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"])
         known = known.unionByName(old.select("blob", "rule_version", "findings"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.shared import fold
+from chatterloom.llm.shared import fold, small_batches
 
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -177,4 +177,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = sent.value.predict(x.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

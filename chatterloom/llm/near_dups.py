@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatterloom.llm.components import components, packed
-from chatterloom.llm.shared import stored
+from chatterloom.llm.shared import small_batches, stored
 from chatterloom.operators.scale import broadcast_if_small, cut_lineage
 
 WIDTH = 5
@@ -51,7 +51,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 500_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 ["doc_id", "n_shingles", "set_id", "tokens", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         sign, "doc_id long, n_shingles long, set_id binary, tokens array<long>, sketch binary"
     )
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatterloom.llm.shared import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
 SAMPLE_ROWS = 2_000
@@ -255,7 +257,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, most_regions: int = SAMPLE_REG
                 cut.append([t[max(0, a - 2) : b + 2] for a, b in regions(t)])
             yield pa.RecordBatch.from_arrays([x.column("h"), pa.array(cut, pa.list_(pa.string()))], ["h", "regions"])
 
-    found = chosen.mapInArrow(gather, "h long, regions array<string>").orderBy("h").limit(rows).toArrow()
+    found = small_batches(chosen).mapInArrow(gather, "h long, regions array<string>").orderBy("h").limit(rows).toArrow()
     return train([r for some in found.column("regions").to_pylist() for r in some], most_regions)
 
 
@@ -272,4 +274,4 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
     schema = "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.shared import stored, text_key
+from chatterloom.llm.shared import small_batches, stored, text_key
 from chatterloom.operators.scale import broadcast_if_small
 
 ORDER = 5
@@ -91,7 +91,7 @@ def counts(trusted: DataFrame) -> DataFrame:
                 columns = [pa.array([lang] * len(top), pa.string()), *[pa.array(k.view(np.int64)) for k in suffixes + contexts], pa.array(number.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    rows = trusted.select("lang", "text").where(F.length("text") > 0).mapInArrow(count, ", ".join([*_COUNTED, "a long"]))
+    rows = small_batches(trusted).select("lang", "text").where(F.length("text") > 0).mapInArrow(count, ", ".join([*_COUNTED, "a long"]))
     return rows.groupBy(*[c.split()[0] for c in _COUNTED]).agg(F.sum("a").alias("a"))
 
 
@@ -209,7 +209,7 @@ def _by_table(docs: DataFrame, entries: DataFrame, unknown: dict) -> DataFrame:
                     [y.column("doc_id"), y.column("lang"), pa.array(n.astype(np.int64)), pa.array(mean, mask=np.isnan(mean))], ["doc_id", "lang", "n_chars", "mean"]
                 )
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(score, "doc_id long, lang string, n_chars long, mean double")
+    return small_batches(docs).select("doc_id", "lang", "text").mapInArrow(score, "doc_id long, lang string, n_chars long, mean double")
 
 
 def _by_join(docs: DataFrame, entries: DataFrame, unknown: dict) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from chatterloom.session import ensure_checkpoint_dir
 
+# Rows of an Arrow batch of texts.
+BATCH_ROWS = 500
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Separators of the two word rules: blanks only, or every ASCII character that is no digit or letter.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -59,6 +61,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra ones can't clash; a missing one is an error."""
-    return df.select(*names)
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; whole texts go to Python workers ``BATCH_ROWS`` at a time, so a worker holds few of them at once.
+
+    The size is a setting of the session, read when a job starts. A smaller one is left as it is.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

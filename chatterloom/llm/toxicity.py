@@ -7,7 +7,7 @@ hashed terms are all that reaches the driver. The model is bounded by ``BUCKETS`
 executors; every text is scored whole.
 
 Null, empty and blank texts have no terms and get the base rate. Rows without id or label teach nothing. Of several
-labels of one id the highest counts. Without labelled rows every score is 0. Repeated rows get equal scores. Extra columns are
+labels of one id the highest counts. Without labelled rows every score is about 0. Repeated rows get equal scores. Extra columns are
 passed on unchanged by ``without_toxic``.
 """
 
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatterloom.llm.shared import fold
+from chatterloom.llm.shared import fold, small_batches
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_ROWS = 20_000
@@ -46,7 +46,7 @@ class _Buckets(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         names = [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)]
         value = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names)
-        if len(self) < 200_000:
+        if len(self) < 50_000:
             self[word] = value
         return value
 
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
             rows = [terms(t.as_py()) for t in x.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), x.column("toxic")], ["terms", "toxic"])
 
-    learned = sample(docs, labels, most).mapInArrow(hashed, "terms array<int>, toxic boolean").toArrow()
+    learned = small_batches(sample(docs, labels, most)).mapInArrow(hashed, "terms array<int>, toxic boolean").toArrow()
     rows = [np.asarray(r.values, np.int32) for r in learned.column("terms")]
     order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # the same model however the rows arrive
     toxic = np.asarray(learned.column("toxic").to_pylist(), float)
@@ -155,7 +155,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(_scored(x, sent.value))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -166,4 +166,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for x in batches:
             yield x.filter(pc.less(pa.array(_scored(x, sent.value)), threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
