@@ -37,7 +37,7 @@ LEAST_EQUAL = 84
 # Most open members of a node that are compared with all of it.
 SMALL = 32
 # Further members, besides one of its largest component, that a larger node compares with all of it.
-PIVOTS = 3
+PIVOTS = 2
 LEVELS = 16
 
 _rng = np.random.default_rng(20)
@@ -190,7 +190,9 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH) ->
         one = small.where("open").select("node", F.col("rep").alias("x"), F.col("comp").alias("cx"))
         other = small.select("node", F.col("rep").alias("y"), F.col("comp").alias("cy"), "open")
         near = one.join(other, "node").where((F.col("cx") != F.col("cy")) & (~F.col("open") | (F.col("x") < F.col("y")))).select(*_pair("x", "y"))
-        star = large.select("rep", "comp", F.explode("pivots").alias("p")).where(F.col("comp") != F.col("p.own")).select("rep", "p.pivot").select(*_pair("pivot", "rep"))
+        # Only pairs that can tell something become rows. No component is known at first, so one pivot does there.
+        apart = F.filter(F.slice("pivots", 1, 1 if level == 1 else 1 + PIVOTS), lambda p: p["own"] != F.col("comp"))
+        star = large.select("rep", F.explode(apart).alias("p")).select("rep", "p.pivot").select(*_pair("pivot", "rep"))
         pairs = near.unionAll(star).where("a < b").distinct()
         links = confirmed(packed(_alike(pairs, classes)), docs, width)
         if known is not None:
