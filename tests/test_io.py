@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -98,6 +99,8 @@ def test_token_formats(spark):
 def test_chart_and_report(spark):
     shares = spark.createDataFrame([("x", 3), ("a", 97)], "label string, percent int")
     assert sinks.chart_json(shares).first()[0] == '[["Label", "Percent"],["a", 97],["x", 3]]'
+    odd = spark.createDataFrame([('a"b', 5), ("c]\\", 7)], "label string, percent int")
+    assert json.loads(sinks.chart_json(odd).first()[0]) == [["Label", "Percent"], ['a"b', 5], ["c]\\", 7]]
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "line_no bigint, line string")
     right = spark.createDataFrame([(1, "a"), (2, "x")], "line_no bigint, line string")
     report = sinks.difference_report(line_differences(left, right)).orderBy("line_no")
