@@ -39,13 +39,28 @@ SMALL = 32
 # Further members, besides one of its largest component, that a larger node compares with all of it.
 PIVOTS = 2
 LEVELS = 16
+# Minwise bytes beside the sketch that nodes may branch on.
+FURTHER = 128
 
 _rng = np.random.default_rng(20)
-_MULTIPLY = _rng.integers(0, 2**64, TREES + SKETCH, dtype=np.uint64) | np.uint64(1)
-_ADD = _rng.integers(0, 2**64, TREES + SKETCH, dtype=np.uint64)
+_MULTIPLY = _rng.integers(0, 2**64, TREES + SKETCH + FURTHER, dtype=np.uint64) | np.uint64(1)
+_ADD = _rng.integers(0, 2**64, TREES + SKETCH + FURTHER, dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def children(level: int) -> int:
+    """Children of each set of a large node."""
+    return 2 if level % 5 in (2, 4) else 1
+
+
+def escape(depth: int, similarity: float = SIMILARITY / 100) -> float:
+    """Probability that no tree holds a pair together after ``depth`` branchings, pivots ignored."""
+    lost = 0.0
+    for level in range(depth, 0, -1):
+        lost = (1 - similarity * (1 - lost)) ** children(level)
+    return (1 - similarity * (1 - lost)) ** TREES
+
+
 class _WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
@@ -81,17 +96,17 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 def _minwise(s: np.ndarray) -> np.ndarray:
     """Least value of each hash function over a set, in blocks so that long texts need little memory."""
     low = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(s), 2048):
-        low = np.minimum(low, (s[i : i + 2048, None] * _MULTIPLY + _ADD).min(axis=0))
+    for i in range(0, len(s), 128):
+        low = np.minimum(low, (s[i : i + 128, None] * _MULTIPLY + _ADD).min(axis=0))
     return low
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, set_id, tokens, sketch) of every row; the last three null for an empty set."""
+    """(doc_id, n_shingles, set_id, tokens, sketch, further) of every row; the last four null for an empty set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sets, tokens, sketches = [], [], [], []
+            sizes, sets, tokens, sketches, further = [], [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), width)
                 sizes.append(len(s))
@@ -99,16 +114,17 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     low = _minwise(s)
                     sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     tokens.append(low[:TREES].view(np.int64).tolist())
-                    sketches.append((_mixed(low[TREES:]) >> np.uint64(56)).astype(np.uint8).tobytes())
+                    least = (_mixed(low[TREES:]) >> np.uint64(56)).astype(np.uint8).tobytes()
+                    sketches.append(least[:SKETCH]), further.append(least[SKETCH:])
                 else:
-                    sets.append(None), tokens.append(None), sketches.append(None)
+                    sets.append(None), tokens.append(None), sketches.append(None), further.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "tokens", "sketch"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(further, pa.binary())],
+                ["doc_id", "n_shingles", "set_id", "tokens", "sketch", "further"],
             )
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, set_id binary, tokens array<long>, sketch binary"
+        sign, "doc_id long, n_shingles long, set_id binary, tokens array<long>, sketch binary, further binary"
     )
 
 
@@ -174,6 +190,13 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return nodes.where(F.col("n") > F.col("most.n")).select("node", F.col("most.p.own").alias("base"), (F.col("n") - F.col("most.n")).alias("n_open"), pivots.alias("pivots"))
 
 
+def _branched(rows: DataFrame, level: int) -> DataFrame:
+    """The rows once for each child of their node, which takes its place. ``least`` holds the minwise bytes to branch on."""
+    made = rows.withColumn("child", F.explode(F.sequence(F.lit(1), F.lit(children(level))))) if children(level) > 1 else rows.withColumn("child", F.lit(1))
+    at = F.pmod(F.xxhash64("node", "child", F.lit(level)), F.lit(SKETCH + FURTHER)).cast("int") + 1
+    return made.withColumn("node", F.xxhash64("node", "child", F.lit(level), F.substring("least", at, F.lit(1)))).drop("child")
+
+
 def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
     """(node, component) of all representatives that have a link."""
     rows = cut_lineage(
@@ -198,14 +221,13 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH) ->
         if known is not None:
             links = links.unionAll(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
         known = packed(components(links))
-        # Larger nodes branch on the next minwise choice, as far as their members are not one component by now.
+        # Larger nodes branch on further minwise choices, as far as their members are not one component by now.
         if level == LEVELS or large.limit(1).count() == 0:
             return known
-        by = F.conv(F.hex(F.substring("sketch", F.pmod(F.xxhash64("tree", F.lit(level)), F.lit(SKETCH)).cast("int") + 1, F.lit(1))), 16, 10)
-        down = large.select("node", "rep", "tree").join(classes.select("rep", "sketch"), "rep").join(
+        down = large.select("node", "rep", "tree").join(classes.select("rep", F.concat("sketch", "further").alias("least")), "rep").join(
             known.select(F.col("node").alias("rep"), "component"), "rep", "left"
         )
-        rows = packed(down.select("rep", "tree", F.xxhash64("node", F.lit(level), by).alias("node"), F.coalesce("component", "rep").alias("comp")))
+        rows = packed(_branched(down, level).withColumn("comp", F.coalesce("component", "rep")).select("rep", "tree", "node", "comp"))
     return known
 
 
@@ -215,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     signed = stored(signatures(docs, width), "signatures")
     filled = signed.where(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
     classes = stored(
-        filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "sketch")]), "classes"
+        filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "tokens", "sketch", "further")]), "classes"
     )
     linked = class_components(docs, classes, width)
     named = classes.select("set_id", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left").select(

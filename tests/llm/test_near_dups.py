@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatterloom.llm import near_dups
 from chatterloom.llm.components import components
@@ -55,6 +56,35 @@ def test_against_all_pairs(spark, monkeypatch, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_pairs_in_a_large_family(spark):
+    """Copies at 0.80 to 0.85 among 2000 texts about 0.75 alike stay together in some node, ten branchings deep."""
+    shared, n, copies = data.prose(5, 120), 1500, 500
+    own = [data.prose(1000 + i, 20).split() for i in range(n)]
+    twins = [own[i][:7] + data.prose(9000 + i, 13).split() for i in range(copies)]
+    texts = [f"{shared} {' '.join(w)}" for w in own + twins]
+
+    def alike(a, b):
+        x, y = ({tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (texts[a].split(), texts[b].split()))
+        return len(x & y) / len(x | y)
+
+    assert all(0.80 <= alike(i, n + i) <= 0.85 and 0.7 < alike(i, i + 1) < 0.8 for i in range(copies))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = near_dups.signatures(docs, 4).select(
+        "doc_id", F.posexplode("tokens").alias("tree", "token"), F.concat("sketch", "further").alias("least")
+    ).select("doc_id", "least", F.xxhash64("tree", "token").alias("node"))
+    for level in range(1, 11):
+        rows = near_dups._branched(rows, level)
+    nodes = {}
+    for r in rows.select("doc_id", "node").collect():
+        nodes.setdefault(r.doc_id, set()).add(r.node)
+    found = sum(bool(nodes[i] & nodes[n + i]) for i in range(copies))
+    others = sum(bool(nodes[i] & nodes[i + 1]) for i in range(copies))
+    print("together", found, "of", copies, "others", others)
+    assert found >= 0.97 * copies
+    assert others < found
+    assert max(near_dups.escape(depth) for depth in range(near_dups.LEVELS)) < 0.01
+
+
 def test_edges(spark):
     got = near_dups.near_duplicates(data.edge_docs(spark)).collect()
     assert len(got) == len(data.edge_rows())
