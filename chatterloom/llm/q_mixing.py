@@ -41,4 +41,5 @@ FROM y3 LEFT JOIN f3 ON y3.source IS NOT DISTINCT FROM f3.source
 
 @query("op5_mixing_sources", SQL)
 def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    # The SQL states the first cut and three fills, and the query follows it; mix() and the pipeline go on until nothing fits.
+    return mix(table(spark, sf_dir, "documents"), further=False).select("doc_id", "size", "source_size", "target", "taken")

@@ -47,6 +47,23 @@ def test_mixing_meets_its_targets(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7)).collect()))
 
 
+def test_mixing_fills_past_long_texts(spark):
+    """One text is a third of its source; rows are repeated too. Only what no longer fits stays out."""
+    short = [(i, data.prose(i, 20 + i % 3), "en", "b", 1) for i in range(300)]
+    docs = spark.createDataFrame([*short, *short[:40], (1000, data.prose(1000, 3500), "en", "b", 1), (1001, data.prose(1, 2000), "en", "a", 1)], data.DOCS)
+    # With these ids the long text's rank is among the lowest ones.
+    for long_id in (8034, 8006):
+        tried = docs.withColumn("doc_id", F.when(F.col("doc_id") == 1000, long_id).otherwise(F.col("doc_id")))
+        got = mixing.mix(tried, weights=(1, 1), share=0.5).where("source = 'b'").collect()
+        units, gap = {}, got[0].target
+        for x in got:
+            gap -= x.taken
+            units.setdefault(x.doc_id, []).append(x)
+        assert all(len({x.copies for x in u}) == 1 for u in units.values())
+        assert -66 < gap < 100  # a repeated row may be among the three fills
+        assert all(sum(x.size for x in u) > gap for u in units.values() if not u[0].copies)
+
+
 def test_mixing_edges(spark):
     docs = data.edge_docs(spark)
     mixed = mixing.mix_documents(docs)
