@@ -203,6 +203,39 @@ def test_languages(spark):
     assert langid.identify(data.empty_docs(spark), nothing).count() == 0
 
 
+def test_one_short_sample_leaves_the_others_whole():
+    texts = {k: data.prose(i, 4000, letters) for i, (k, letters) in enumerate({"aa": "abcdefgh", "bb": "abcdefgi"}.items())}
+    model = langid.train({**texts, "zz": "abcdefgh abc defgh i"})
+    alone = langid.train(texts)
+    assert [len(t) for t in model.tables[:2]] == [len(t) for t in alone.tables]
+    asked = [data.prose(50 + i, 30, "abcdefgh" if i % 2 else "abcdefgi") for i in range(40)]
+    assert model.predict(asked)[0] == alone.predict(asked)[0] == ["aa" if i % 2 else "bb" for i in range(40)]
+
+
+def test_scripts_of_thousands_of_letters():
+    """Two languages share their 120 most frequent letters and differ in the order of thousands of others."""
+    common, rare = [chr(0x4E00 + i) for i in range(120)], [chr(0x5E00 + i) for i in range(3000)]
+
+    def text(seed, step):
+        r, out = random.Random(seed), []
+        for _ in range(60):
+            at = r.randrange(3000)
+            out += [r.choice(common), rare[at], rare[(at * 7 + step) % 3000], r.choice(common)]
+        return "".join(out)
+
+    model = langid.train({k: "".join(text(1000 * step + i, step) for i in range(120)) for k, step in {"xx": 1, "yy": 5}.items()})
+    assert model.letters.size == 120 + langid.DIGITS + 1
+    assert model.predict([text(99_000 + i, 1 if i % 2 else 5) for i in range(40)])[0] == ["xx" if i % 2 else "yy" for i in range(40)]
+
+
+def test_languages_of_long_texts_only(spark):
+    letters = {"aa": "abcdef", "bb": "ghijkl"}
+    rows = [(i, data.prose(i, 30 if i % 2 else 2500, letters[k]), k, None, 0) for i in range(30) for k in ["bb" if i % 2 else "aa"]]
+    assert min(len(r[1]) for r in rows if r[2] == "aa") > langid.SAMPLE_LONGEST
+    model = langid.fit(spark.createDataFrame(rows, data.DOCS))
+    assert model.languages == ["aa", "bb"] and model.predict([data.prose(99, 30, letters["aa"])])[0] == ["aa"]
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
