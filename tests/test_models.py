@@ -182,3 +182,26 @@ def test_topics(spark, words_df, monkeypatch):
     monkeypatch.setattr(P, "VECTORISER_TERMS", 0)
     joined = {r["doc_id"]: r["features"] for r in P.bags_of_words(docs, "doc_id", terms).collect()}
     assert joined == {r["doc_id"]: r["features"] for r in bags.collect()}
+
+
+def test_topic_queries_search_all_topic_counts(monkeypatch):
+    from types import SimpleNamespace
+
+    from chatterloom.functions import fixed_values as V
+    from chatterloom.plans import top
+
+    asked, fit = [], top.P.fit_topics
+
+    def noted(bags, vocabulary, ks=fit.__defaults__[0], iterations=fit.__defaults__[1], seed=0):
+        asked.append((list(ks), iterations))
+
+    names = ("topic_tokens", "term_counts", "vocabulary_index", "bags_of_words")
+    for name in names:
+        monkeypatch.setattr(top.P, name, lambda *a: None)
+    monkeypatch.setattr(top.P, "fit_topics", noted)
+    monkeypatch.setattr(top, "cut_lineage", lambda df: SimpleNamespace(count=lambda: 0))
+    monkeypatch.setattr(top, "table", lambda *a: SimpleNamespace(select=lambda *c: None))
+    monkeypatch.setattr(top, "stop_words", lambda spark: None)
+    monkeypatch.setattr(top, "F", SimpleNamespace(concat_ws=lambda *a: SimpleNamespace(alias=lambda n: None), col=lambda n: SimpleNamespace(cast=lambda t: None)))
+    top._fitted(None, "")
+    assert asked == [(list(V.TOPIC_COUNTS), V.LDA_ITERATIONS)]
