@@ -177,7 +177,7 @@ def clustered(table: DataFrame, k: int = 8, rounds: int = 10, length: int = 64,
 
     assigned = stored(rows.mapInArrow(assign, "vec_id long, cluster int, distance long"), "assigned")
     inertia = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    known = spark.createDataFrame(list(enumerate(centroids.tolist())), "cluster int, centroid array<long>")
+    known = spark.createDataFrame(pa.table({"cluster": pa.array(range(len(centroids)), pa.int32()), "centroid": pa.array(centroids.tolist(), pa.list_(pa.int64()))}))
     # One row for each cluster.
     small = inertia.join(known, "cluster").select("*", F.sum("cluster_inertia").over(Window.partitionBy()).alias("inertia"))
     return assigned.join(F.broadcast(small), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid")
