@@ -2,9 +2,9 @@
 
 The distances of every vector to ``PIVOTS`` pivots are computed once. For a query and a candidate the largest difference of their distances
 to a pivot bounds their own distance from below, and with both lengths known that bounds their inner product from above:
-``2 <q, v> = |q|^2 + |v|^2 - d(q, v)^2``. Pivots are looked at in groups; after each, candidates whose bound falls below what the query has
-already are gone. Those left are scored in the order of their bounds, in whole numbers, until the next bound is below
-the query's k-th score. Bounds are floats and give way by ``SLACK``; equal scores are always looked at.
+``2 <q, v> = |q|^2 + |v|^2 - d(q, v)^2``. Candidates whose bound falls below what the query has already are gone. Those left are scored in
+the order of their bounds, in a few growing portions, until no bound reaches the query's k-th score. Scores are whole numbers, exact in the
+float or integer type that holds the largest of the block; bounds give way by ``SLACK``, and equal scores are always looked at.
 
 Vectors are packed into blocks of ``BLOCK_ROWS``. Each query starts with the k-th score among a sample of ``SAMPLE`` vectors, a score that the
 result can't fall below. Blocks of queries (hash buckets of about ``QUERY_ROWS``) meet each block of
@@ -29,16 +29,16 @@ from chatterloom.llm.shared import stored
 from chatterloom.llm.simplex import whole_vectors
 
 PIVOTS = 32
-# Pivots looked at before candidates are dropped.
-STEP = 8
 SAMPLE = 1024
-BLOCK_ROWS = 2048
-QUERY_ROWS = 256
-# Candidates scored at a time.
-CHUNK = 64
+BLOCK_ROWS = 8192
+QUERY_ROWS = 128
+# Queries whose bounds are computed together.
+TOGETHER = 32
+# Candidates of each portion in the order of bounds; what can't be excluded then is scored together.
+PORTIONS = (64, 512)
 # Buckets of queries that may be broadcast.
 BROADCAST_BUCKETS = 32
-SLACK = 1e-6
+SLACK = 1e-5
 LARGEST_SQUARE = 2.0**62
 NOTHING = np.iinfo(np.int64).min
 
@@ -63,9 +63,22 @@ class Block:
         inner = self.v[:, :n].astype(float) @ pivots[:, :n].astype(float).T
         return np.sqrt(np.maximum(self.square[:, None] + (pivots.astype(float) ** 2).sum(axis=1) - 2 * inner, 0))
 
-    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        n = min(self.v.shape[1], len(q))
-        return self.v[rows, :n] @ q[:n]
+    def exact(self, largest: float) -> np.ndarray:
+        """The vectors in a type in which products with vectors of at most that squared length are whole numbers."""
+        most = np.sqrt(largest * self.square.max(initial=0))
+        return self.v.astype(np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64)
+
+    def bounds(self, others: Block, rows: slice) -> np.ndarray:
+        """Upper bounds of the products of some vectors of ``others`` with all vectors, one row for each."""
+        low = np.zeros((len(others.square[rows]), len(self.square)), np.float32)
+        own, asked = self.table.astype(np.float32).T, others.table[rows].astype(np.float32)
+        apart = np.empty_like(low)
+        for p in range(own.shape[0]):
+            np.subtract(own[p], asked[:, p : p + 1], out=apart)
+            np.abs(apart, out=apart)
+            np.maximum(low, apart, out=low)
+        total = self.square + others.square[rows, None]
+        return (total - low.astype(float) ** 2 + SLACK * (total + 1)) / 2
 
 
 def spread_out(vectors: list[list[int]], most: int = PIVOTS) -> np.ndarray:
@@ -81,33 +94,50 @@ def spread_out(vectors: list[list[int]], most: int = PIVOTS) -> np.ndarray:
     return block.v[chosen]
 
 
-def best_of(block: Block, uid: int, q: np.ndarray, square: float, distances: np.ndarray, k: int, least: int = NOTHING) -> tuple[list, int]:
-    """The best ``k`` (score, null, id) of a block with scores of at least ``least``, and how many candidates were scored."""
-    total = block.square + square
-    slack = SLACK * (total + 1)
-    rows = np.flatnonzero(block.uid != uid)
-    low = np.zeros(len(rows))
-    for p in range(0, block.table.shape[1], STEP):
-        low = np.maximum(low, np.abs(block.table[rows, p : p + STEP] - distances[p : p + STEP]).max(axis=1))
-        if least != NOTHING:
-            stay = total[rows] - low**2 + slack[rows] >= 2 * float(least)
-            rows, low = rows[stay], low[stay]
-    bound = (total[rows] - low**2 + slack[rows]) / 2
-    order = np.argsort(-bound, kind="stable")
-    rows, bound = rows[order], bound[order]
+def best_of(block: Block, bound: np.ndarray, v: np.ndarray, uid: int, q: np.ndarray, k: int, least: int = NOTHING) -> tuple[list, int]:
+    """The best ``k`` (score, null, id) of a block with scores of at least ``least``, and how many candidates were scored.
+
+    ``v`` holds the vectors of the block in the type that is exact here.
+    """
+    rows = np.flatnonzero((bound >= least) & (block.uid != uid))
+    n = min(v.shape[1], len(q))
+    v, q = v[:, :n], q[:n].astype(v.dtype)
     top, seen = [], 0
-    for i in range(0, len(rows), CHUNK):
+
+    def add(part: np.ndarray, scores: np.ndarray) -> None:
+        nonlocal top, seen, least
+        seen += len(part)
+        good = scores >= least
+        part, scores = part[good], scores[good]
+        if len(part) > k:  # what is below the k-th of this portion can't be among the best
+            good = scores >= np.partition(scores, -k)[-k]
+            part, scores = part[good], scores[good]
+        found = zip(map(int, scores), block.null[part].tolist(), block.vec_id[part].tolist())
+        top = sorted([*top, *found], key=lambda x: (-x[0], x[1], x[2]))[:k]
         if len(top) == k:
-            least = max(least, -top[-1][0])
-        if least != NOTHING and bound[i] < least:
+            least = max(least, top[-1][0])
+
+    for size in PORTIONS:
+        if not len(rows):
             break
-        part = rows[i : i + CHUNK]
-        scores = block.scores(part, q)
-        seen += len(part)
-        good = np.flatnonzero(scores >= least)
-        found = zip((-scores[good]).tolist(), block.null[part[good]].tolist(), block.vec_id[part[good]].tolist())
-        top = sorted([*top, *found])[:k]
-    return [(-s, null, i) for s, null, i in top], seen
+        best = np.argpartition(-bound[rows], size)[:size] if size < len(rows) else np.arange(len(rows))
+        part = rows[best]
+        add(part, v[part] @ q)
+        rows = np.delete(rows, best)
+        rows = rows[bound[rows] >= least]
+    if len(rows):
+        # Bounds that tell so little leave most of a block: one product with all of it is cheaper than to pick rows.
+        add(rows, (v @ q)[rows])
+    return top, seen
+
+
+def best_of_all(block: Block, asked: Block, k: int, least: list[int] | None = None) -> Iterator[tuple[list, int]]:
+    """``best_of`` for each vector of ``asked``."""
+    v = block.exact(asked.square.max(initial=0))
+    for start in range(0, len(asked.uid), TOGETHER):
+        rows = slice(start, start + TOGETHER)
+        for i, bound in enumerate(block.bounds(asked, rows), start):
+            yield best_of(block, bound, v, asked.uid[i], asked.v[i], k, NOTHING if least is None else least[i])
 
 
 def _packed(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -139,10 +169,7 @@ def _started(queries: DataFrame, sample: Block, pivots: np.ndarray, k: int, buck
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             b = Block(x.column("uid").to_pylist(), x.column("vec_id").to_pylist(), x.column("v").to_pylist(), pivots)
-            least = []
-            for i in range(x.num_rows):
-                top, _ = best_of(sample, b.uid[i], b.v[i], b.square[i], b.table[i], k)
-                least.append(top[-1][0] if len(top) == k else NOTHING)
+            least = [top[-1][0] if len(top) == k else NOTHING for top, _ in best_of_all(sample, b, k)]
             yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("uid", "vec_id", "v")), pa.array(least, pa.int64())], ["uid", "vec_id", "v", "least"])
 
     made = queries.mapInArrow(start, "uid long, vec_id long, v array<long>, least long")
@@ -158,8 +185,7 @@ def _met(pairs: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
                 block, asked = _unpacked(n, columns.as_py()), asked.as_py()
                 q = Block([a["uid"] for a in asked], [a["vec_id"] for a in asked], [a["v"] for a in asked], pivots)
                 out = []
-                for i, a in enumerate(asked):
-                    top, _ = best_of(block, a["uid"], q.v[i], q.square[i], q.table[i], k, a["least"])
+                for a, (top, _) in zip(asked, best_of_all(block, q, k, [a["least"] for a in asked])):
                     out += [(a["uid"], a["vec_id"], None if null else vec_id, score) for score, null, vec_id in top]
                 columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4
                 yield pa.RecordBatch.from_arrays(columns, ["uid", "query_id", "vec_id", "score"])

@@ -99,7 +99,7 @@ def plain_top(rows, k, every):
 def test_top_k(spark, monkeypatch, rows, small):
     """Also with small blocks, many query buckets and no broadcast."""
     if small:
-        for name, value in {"SAMPLE": 7, "BLOCK_ROWS": 30, "QUERY_ROWS": 2, "CHUNK": 4, "BROADCAST_BUCKETS": 1, "PIVOTS": 5}.items():
+        for name, value in {"SAMPLE": 7, "BLOCK_ROWS": 30, "QUERY_ROWS": 2, "PORTIONS": (4, 8), "BROADCAST_BUCKETS": 1, "PIVOTS": 5}.items():
             monkeypatch.setattr(pivot_search, name, value)
     table = spark.createDataFrame(rows, TYPE).repartition(3).withColumns({"uid": F.lit("x"), "score": F.lit(1), "bucket": F.lit(None), "n": F.lit(0)})
     got = rows_of(top_k(table, F.col("vec_id") % 10 == 0), "query_id", "rank", "vec_id", "score")
@@ -110,15 +110,26 @@ def test_search_stops_early():
     vectors = [[math.floor(256 * c) for c in x] for _, x, _ in some(3000, 16, 6, 20)]
     pivots = pivot_search.spread_out(vectors[:500])
     block = pivot_search.Block(list(range(3000)), list(range(3000)), vectors, pivots)
+    asked = pivot_search.Block(list(range(0, 3000, 100)), [None] * 30, vectors[::100], pivots)
     seen = 0
-    for i in range(0, 3000, 100):
-        top, n = pivot_search.best_of(block, i, block.v[i], block.square[i], block.table[i], 5)
+    for i, (top, n) in zip(range(0, 3000, 100), pivot_search.best_of_all(block, asked, 5)):
         seen += n
         scores = (block.v @ block.v[i]).tolist()
         assert sorted((-s, j) for j, s in enumerate(scores) if j != i)[:5] == [(-s, j) for s, _, j in top]
     assert seen < 0.5 * 30 * 3000
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 12, 1 << 22])
+def test_scores_are_exact_in_every_type(scale):
+    r = random.Random(scale)
+    vectors = [[r.randint(-16 * scale, 16 * scale) for _ in range(8)] for _ in range(200)]
+    pivots = pivot_search.spread_out(vectors)
+    block = pivot_search.Block(list(range(200)), list(range(200)), vectors, pivots)
+    for i, (top, _) in enumerate(pivot_search.best_of_all(block, block, 5)):
+        plain = sorted((-sum(a * b for a, b in zip(vectors[i], v)), j) for j, v in enumerate(vectors) if j != i)[:5]
+        assert plain == [(-s, j) for s, _, j in top]
+
+
 def test_large_components_are_refused(spark):
     table = spark.createDataFrame([(0, [1e9, 1.0], 0)], TYPE)
     with pytest.raises(Exception, match="a component of"):
