@@ -38,7 +38,7 @@ class Models:
     ks: tuple[int, ...]
     terms: int
     seed: int
-    shard: int = 512  # terms of a shard
+    shard: int = 2048  # terms of a shard
 
     @property
     def starts(self) -> np.ndarray:
@@ -56,9 +56,16 @@ class Models:
         """50/k + 1 for each topic of a model with k topics, less one."""
         return self.spread(50.0 / np.array(self.ks))
 
+    def per_model(self, x: np.ndarray) -> np.ndarray:
+        """Sums of the columns of each model."""
+        return x @ (np.repeat(np.arange(len(self.ks)), self.ks)[:, None] == np.arange(len(self.ks))).astype(float)
+
     def normal(self, x: np.ndarray) -> np.ndarray:
         """Rows with sum one within each model; equal shares where a model has none."""
-        total = self.spread(np.add.reduceat(x, self.starts, axis=1))
+        total = self.per_model(x)
+        if (total > 0).all():
+            return x / self.spread(total)
+        total = self.spread(total)
         return np.where(total > 0, x / np.where(total > 0, total, 1), 1 / self.spread(np.array(self.ks, float)))
 
 
@@ -91,19 +98,18 @@ class Bags:
     def summed(self, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums of the entries' shares per document and per term."""
         whole = shares * self.n[:, None]
-        out = []
-        for groups, key in ((len(self.size), self.doc), (len(self.terms), self.at)):
-            total = np.zeros((groups, whole.shape[1]))
-            order = np.argsort(key, kind="stable")
-            present, first = np.unique(key[order], return_index=True)
-            if len(first):
-                total[present] = np.add.reduceat(whole[order], first, axis=0)
-            out.append(total)
-        return out[0], out[1]
+        documents = np.zeros((len(self.size), whole.shape[1]))
+        if not len(whole):
+            return documents, np.zeros((0, whole.shape[1]))
+        filled = np.flatnonzero(self.size)
+        documents[filled] = np.add.reduceat(whole, np.cumsum(self.size)[filled] - self.size[filled], axis=0)
+        order = np.argsort(self.at, kind="stable")
+        first = np.searchsorted(self.at[order], np.arange(len(self.terms)))
+        return documents, np.add.reduceat(whole[order], first, axis=0)
 
     def log_likelihood(self, m: Models, weights: np.ndarray, state: np.ndarray) -> np.ndarray:
         theta = m.normal(state + m.document_prior)
-        fit = np.add.reduceat(weights[self.at] * theta[self.doc], m.starts, axis=1)
+        fit = m.per_model(weights[self.at] * theta[self.doc])
         return (self.n[:, None] * np.log(fit)).sum(axis=0)
 
 
@@ -147,8 +153,9 @@ class TermRows:
         self.matrix = None
         if m.terms * columns <= SENT_CELLS:
             self.matrix = np.zeros((-(-m.terms // shard) * shard, columns))
-            for r in self.table.collect():
-                self.matrix[r["shard"] * shard : (r["shard"] + 1) * shard] = np.frombuffer(r["sums"]).reshape(-1, columns)
+            found = self.table.select("shard", "sums").toArrow()
+            for at, sums in zip(found.column("shard").to_pylist(), found.column("sums")):
+                self.matrix[at * shard : (at + 1) * shard] = np.frombuffer(sums.as_buffer()).reshape(-1, columns)
             self.totals = self.matrix.sum(axis=0)
         else:
             self.table = cut_lineage(self.table)
@@ -211,9 +218,9 @@ def _emitted(m: Models, passed: Iterator[tuple[Bags, np.ndarray, np.ndarray]]) -
         sums.clear()
 
     for bags, state, terms in passed:
-        for shard in np.unique(bags.terms // m.shard):
-            own = bags.terms // m.shard == shard
-            sums.setdefault(int(shard), np.zeros((m.shard, m.columns)))[bags.terms[own] % m.shard] += terms[own]
+        shards, first = np.unique(bags.terms // m.shard, return_index=True)  # terms ascend
+        for shard, a, b in zip(shards.tolist(), first, [*first[1:], len(bags.terms)]):
+            sums.setdefault(shard, np.zeros((m.shard, m.columns)))[bags.terms[a:b] % m.shard] += terms[a:b]
         kept = [pa.array([bags.row[c]], pa.int64() if c == "block" else pa.binary()) for c in names[:6]]
         yield pa.RecordBatch.from_arrays([*kept, pa.array([state.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names)
         if len(sums) * m.shard * m.columns > SENT_CELLS:
