@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterloom.functions import fixed_values as V
 from chatterloom.functions import text as X
-from chatterloom.operators.scale import NEST_ROWS, running_sum
+from chatterloom.operators.scale import NEST_ROWS, join_null_safe, running_sum
 
 
 def untag(tagged: Column) -> Column:
@@ -87,7 +87,7 @@ def line_differences(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def rebuild_sentences(
-    tokens: DataFrame, group: Sequence[str], pos: str = "pos", token: str = "token", size: int = NEST_ROWS
+    tokens: DataFrame, group: Sequence[str], pos: str = "pos", token: str = "token", size: int = NEST_ROWS, block: int = 1_000_000
 ) -> DataFrame:
     """Running text from one token per row; a sentence ends at a token with ``.``, ``!`` or ``?``.
 
@@ -95,10 +95,20 @@ def rebuild_sentences(
     without sentence ends cannot fill one task.
     """
     group = list(group)
-    is_end = F.col(token).rlike(V.SENTENCE_END_MARKS).cast("int")
-    numbered = running_sum(tokens.select(*group, pos, token), group, pos, is_end, "sentence")
-    starts = numbered.groupBy(*group, "sentence").agg(F.min(pos).alias("_start"))
-    placed = numbered.join(starts, [*group, "sentence"]).withColumn("part", F.floor((F.col(pos) - F.col("_start")) / size))
+    ends = tokens.select(*group, pos, token, F.col(token).rlike(V.SENTENCE_END_MARKS).cast("int").alias("_end"))
+    if (tokens.agg(F.max(pos)).first()[0] or 0) < block:
+        # No group is longer than a block: number, start and part of a sentence come from one sorted pass.
+        inside = Window.partitionBy(*group).orderBy(pos)
+        begins = F.when(F.lag("_end", 1, 1).over(inside) == 1, F.col(pos))
+        before = inside.rowsBetween(Window.unboundedPreceding, -1)
+        numbered = ends.withColumn("_begin", begins).select(
+            *group, pos, token, F.coalesce(F.sum("_end").over(before), F.lit(0)).alias("sentence"), F.max("_begin").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_start")
+        )
+    else:
+        numbered = running_sum(ends, group, pos, F.col("_end"), "sentence", block)
+        starts = numbered.groupBy(*group, "sentence").agg(F.min(pos).alias("_start"))
+        numbered = join_null_safe(numbered, starts, [*group, "sentence"])
+    placed = numbered.withColumn("part", F.floor((F.col(pos) - F.col("_start")) / size))
     lists = placed.groupBy(*group, "sentence", "part").agg(F.array_sort(F.collect_list(F.struct(pos, token))).alias("_t"))
     return lists.select(*group, "sentence", "part", F.array_join(F.transform("_t", lambda t: t[token]), " ").alias("text"))
 

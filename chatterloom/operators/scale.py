@@ -19,6 +19,8 @@ BROADCAST_ROWS = 500_000
 NEST_ROWS = 10_000
 # Right rows of one key from which a left join is cut into parts.
 SPLIT_ROWS = 1_000_000
+# Hash buckets in which keys are counted before any key is.
+KEY_BUCKETS = 1 << 16
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -105,15 +107,33 @@ def hot_keys(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     return counted.select(*keys, F.ceil(F.col("_n") / size).alias("parts"))
 
 
+def _may_be_hot(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame | None:
+    """The rows in hash buckets of more than ``size`` rows, which hold every hot key; ``None`` if there is no such bucket.
+
+    One pass over the keys; a task sends at most one count for each bucket.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
+    full = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size).select("_bucket").collect()
+    if not full:
+        return None
+    if len(full) == KEY_BUCKETS:
+        return df
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(full, "_bucket bigint")), bucket == F.col("_bucket"), "left_semi")
+
+
 def split_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: int = SPLIT_ROWS) -> DataFrame:
     """Left outer join whose right side may hold very hot keys.
 
     AQE cannot split the right side of a left outer join. Keys of more than ``size`` right rows are cut into parts by a
     hash of all columns; their left rows meet each part, and of those copies only the ones with a partner stay. All
-    other keys are joined as they are. Null keys meet nothing.
+    other keys are joined as they are, and without hot keys this is the plain join. Null keys meet nothing.
     """
     keys = list(keys)
-    hot = broadcast_if_small(cut_lineage(hot_keys(right, keys, size)))
+    suspects = _may_be_hot(right.select(*keys), keys, size)
+    hot = None if suspects is None else cut_lineage(hot_keys(suspects, keys, size))
+    if hot is None or hot.isEmpty():
+        return left.join(right, keys, "left")
+    hot = broadcast_if_small(hot)
     part = F.coalesce(F.pmod(F.xxhash64(*right.columns), F.col("parts")), F.lit(0))
     cut = right.join(hot, keys, "left").withColumn("_part", part).withColumn("_there", F.lit(True)).drop("parts")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1)) - 1))

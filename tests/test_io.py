@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,18 @@ def test_rebuild_sentences(spark):
     assert [(r["sentence"], r["part"], r["text"]) for r in out] == [(0, 0, "a b"), (0, 1, "c."), (1, 0, "d e"), (1, 1, "!"), (2, 0, "f")]
 
 
+def test_rebuild_sentences_across_blocks(spark):
+    """Groups longer than a block, null groups, ends in a row and gaps between positions give what one pass gives."""
+    rng = random.Random(4)
+    rows = [(doc, 3 * i, rng.choice(["a", "b", "c.", "d!", "?"] if doc != 2 else ["x", "y"])) for doc in (None, 1, 2, 3) for i in range(rng.randint(30, 60))]
+    df = spark.createDataFrame(rows, "doc bigint, pos bigint, token string").repartition(3)
+    one, many = ({tuple(r) for r in rebuild_sentences(df, ["doc"], size=12, block=b).collect()} for b in (1_000_000, 20))
+    assert one == many
+    for doc in (None, 1, 2, 3):
+        own = sorted((r for r in one if r[0] == doc), key=lambda r: r[1:3])
+        assert " ".join(r[3] for r in own) == " ".join(t for d, _, t in sorted(rows, key=lambda r: r[1]) if d == doc)
+
+
 def test_folders(spark, tmp_path, words_df):
     folder = tmp_path / "in"
     folder.mkdir()
