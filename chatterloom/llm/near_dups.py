@@ -2,16 +2,21 @@
 
 A document is the set of its word shingles. Equal sets form one class with the smallest id as its
 representative. Each of ``TREES`` independent trees puts every representative under its minwise shingle; two sets of
-similarity s meet there with probability s. A node with few open members (those outside its largest component so
-far) compares them with all of its members. A larger node compares a few pivots only and branches on the
-next minwise choice, until its members are one component or the node is small. Pairs that pass a 128-byte
-sketch are confirmed on the full sets.
+similarity s meet there with probability s. A node is settled once few members are open (outside its largest component so
+far): they are compared with all of its members. A larger node compares ``PIVOTS`` members with all others, which joins families of near
+copies, and if too many are still open it branches every set on further minwise choices. The first tree runs alone; the others then
+look only at nodes that still hold several components.
 
-At the threshold 0.8 a pair escapes ten trees with probability 0.2^10 where the first node is small. Deeper
-nodes hold only sets that share a frequent shingle as minwise choice.
+Pairs never become rows. Members of a node go to one task (in blocks of ``BLOCK``, the ones to compare in each), first with 128-byte
+sketches: those that some sketch holds together are suspects. Only suspects send their full sets, cut into parts of
+``PART`` shingles, and the exact comparison emits links between different components, fewer than its members.
+
+At the threshold 0.8 a pair escapes ten trees with probability 0.2^10 where the first node is settled, ``escape`` gives it for deeper ones; a
+pair at the threshold fails the sketch with a probability under 1e-4. No row count, depth or number of partners is capped.
 
 Null, empty and blank texts have an empty set: they link with nothing and are their own component. Rows
-without id have no component and are kept. Rows that share an id are one document. Other columns are ignored.
+without id have no component and are kept. Rows that share an id are one document, whose texts may differ: the first set counts for each
+of them. Very long texts are hashed whole. Ties of hashes link nothing that the full sets don't. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +39,14 @@ TREES = 10
 SKETCH = 128
 # A sketch of two sets at the threshold agrees in fewer bytes with a probability under 1e-4.
 LEAST_EQUAL = 84
-# Most open members of a node that are compared with all of it.
-SMALL = 32
-# Further members, besides one of its largest component, that a larger node compares with all of it.
-PIVOTS = 2
-LEVELS = 16
+# Most open members of a node that are compared with all of it, for each level: deeper nodes are fewer.
+SMALL = 2048
+# Members of a task, besides those that are compared with all others.
+BLOCK = 4096
+# Members, besides one of its largest component, that a larger node compares with all of it.
+PIVOTS = 8
+# Shingles of suspects that meet in one comparison of full sets; twice as many where two parts meet.
+PART = 1_000_000
 # Minwise bytes beside the sketch that nodes may branch on.
 FURTHER = 128
 
@@ -101,6 +109,10 @@ def _minwise(s: np.ndarray) -> np.ndarray:
     return low
 
 
+def _set_id(s: bytes) -> bytes:
+    return hashlib.blake2b(s, digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, set_id, tokens, sketch, further) of every row; the last four null for an empty set."""
 
@@ -112,7 +124,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 sizes.append(len(s))
                 if len(s):
                     low = _minwise(s)
-                    sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    sets.append(_set_id(s.tobytes()))
                     tokens.append(low[:TREES].view(np.int64).tolist())
                     least = (_mixed(low[TREES:]) >> np.uint64(56)).astype(np.uint8).tobytes()
                     sketches.append(least[:SKETCH]), further.append(least[SKETCH:])
@@ -128,58 +140,150 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     )
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow the similarity."""
-    side = classes.select("rep", "n_shingles", "sketch")
-    both = (
-        pairs.join(side.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
-        .join(side.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .where(100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
-    )
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            left, right = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
-            keep = pa.array((left == right).sum(axis=1) >= LEAST_EQUAL)
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(keep)
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
-
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(set_id, s) of every text with words."""
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            made = [shingle_set(t.as_py(), width).tobytes() for t in x.column("text")]
-            yield pa.RecordBatch.from_arrays([x.column("rep"), pa.array(made, pa.binary())], ["rep", "s"])
-
-    return docs.mapInArrow(make, "rep long, s binary")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Links (u, v): the pairs whose full sets reach the similarity."""
-    ends = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(broadcast_if_small(ends), "rep", "left_semi")
-    sets = _sets(texts, width)
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+            made = [m for m in (shingle_set(t.as_py(), width).tobytes() for t in x.column("text")) if m]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(m) for m in made], pa.binary()), pa.array(made, pa.binary())], ["set_id", "s"])
+
+    return texts.mapInArrow(make, "set_id binary, s binary")
+
+
+class Joined:
+    """Components of the rows of a task, and which pairs are left to compare."""
+
+    def __init__(self, comps: np.ndarray, asks: np.ndarray) -> None:
+        self.of = np.unique(comps, return_inverse=True)[1]
+        self.asks, self.done = asks, np.zeros(len(comps), bool)
+
+    def next(self) -> int | None:
+        """A row to compare with all, from outside the largest component if there is one."""
+        sizes = np.bincount(self.of)
+        largest = int(sizes.argmax())
+        if sizes[largest] == len(self.of):
+            return None
+        waiting = self.asks & ~self.done
+        outside = np.flatnonzero(waiting & (self.of != largest))
+        if len(outside):
+            return int(outside[0])
+        # What waits is in one component: only rows of others that were not compared with everything matter.
+        inside = np.flatnonzero(waiting)
+        return int(inside[0]) if len(inside) and (~self.done & (self.of != largest)).any() else None
+
+    def met(self, i: int, alike: np.ndarray) -> np.ndarray:
+        """Rows whose components join that of ``i``; one row for each."""
+        self.done[i] = True
+        rows = np.flatnonzero(alike & (self.of != self.of[i]))
+        comps, first = np.unique(self.of[rows], return_index=True)
+        self.of[np.isin(self.of, comps)] = self.of[i]
+        return rows[first]
+
+
+def _equal_bytes(sketches: np.ndarray, i: int) -> np.ndarray:
+    """In how many of 128 bytes each sketch equals sketch ``i``."""
+    lanes = (sketches == sketches[i]).view(np.uint64).sum(axis=1, dtype=np.uint64)
+    return (lanes * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
+def _fit(sizes: np.ndarray, i: int) -> np.ndarray:
+    return 100 * np.minimum(sizes, sizes[i]) >= SIMILARITY * np.maximum(sizes, sizes[i])
+
+
+def suspects(comps: np.ndarray, asks: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, first: bool) -> list[np.ndarray]:
+    """Groups of rows, of several components, that sketches hold together; rows to compare meet each other in the first block only."""
+    joined = Joined(np.arange(len(comps)), asks)
+    others = first | ~asks
+    while (i := joined.next()) is not None:
+        joined.met(i, (_equal_bytes(sketches, i) >= LEAST_EQUAL) & _fit(sizes, i) & others & (comps != comps[i]))
+    order = np.argsort(joined.of, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(joined.of[order])) + 1)
+    return [g for g in groups if len(g) > 1 and asks[g].any()]
+
+
+def exact_links(comps: np.ndarray, asks: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of rows that reach the similarity, enough to join their components: each asking row meets all others."""
+    joined, links = Joined(comps, asks), []
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    tokens, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(tokens), np.int32)
+    while (i := joined.next()) is not None:
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat], starts)
+        mark[own] = 0
+        links += [(i, int(j)) for j in joined.met(i, 100 * common >= SIMILARITY * (sizes + sizes[i] - common))]
+    return links
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows of equal ``key``, which follow each other, across batches."""
+    held: list[pa.RecordBatch] = []
+    for x in batches:
+        if not x.num_rows:
+            continue
+        keys = x.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:]):
+            held.append(x.slice(a, b - a))
+            if b < len(keys):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _suspected(members: DataFrame) -> DataFrame:
+    """(part, rep, set_id, comp, ask) of the suspects among members with their sketches."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, "place"):
+            if t.num_rows < 2:
+                continue
+            place, first = t.column("place")[0].as_py(), t.column("first")[0].as_py()
+            t = t.combine_chunks()
+            rep, comp, ask, size = (t.column(c).to_numpy() for c in ("rep", "comp", "ask", "n_shingles"))
+            sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for g in suspects(comp, ask, size, sketches, first):
+                g = g[np.argsort(size[g], kind="stable")]
+                piece = np.cumsum(size[g]) // PART
+                pieces = [g[piece == p] for p in np.unique(piece)]
+                for a in range(len(pieces)):
+                    for b in range(a, len(pieces)):
+                        both = pieces[a] if a == b else np.concatenate([pieces[a], pieces[b]])
+                        if ask[both].any() and (comp[both] != comp[both[0]]).any():
+                            name = hashlib.blake2b(repr((place, rep[g].min(), a, b)).encode(), digest_size=8).digest()
+                            kept = t.select(["rep", "set_id", "comp", "ask"]).take(both).combine_chunks()
+                            part = pa.array(np.full(len(both), int.from_bytes(name, "little", signed=True)))
+                            yield pa.RecordBatch.from_arrays([part, *(c.combine_chunks() for c in kept.columns)], ["part", *kept.column_names])
+
+    return members.mapInArrow(find, "part long, rep long, set_id binary, comp long, ask boolean")
+
+
+def _linked(found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Links (u, v) among suspects by their full sets."""
+    ends = broadcast_if_small(found.select("rep").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ends, "rep", "left_semi").select("text")
+    sets = _sets(texts, width).groupBy("set_id").agg(F.first("s").alias("s"))
+    dealt = found.join(sets, "set_id").repartition("part").sortWithinPartitions("part")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            keep = []
-            for p, q in zip(x.column("sa"), x.column("sb")):
-                left, right = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * common >= SIMILARITY * (len(left) + len(right) - common) > 0)
-            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for t in _runs(batches, "part"):
+            rep, comp, ask = (t.column(c).to_numpy() for c in ("rep", "comp", "ask"))
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s")]
+            links = exact_links(comp, ask, sets)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[[x[k] for x in links]], pa.int64()) if links else pa.array([], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "u long, v long")
-
-
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return dealt.select("part", "rep", "comp", "ask", "s").mapInArrow(check, "u long, v long")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """Nodes with several components: their largest one (``base``), pivots (one of it, others of any) and open members."""
+    """Nodes with several components: members, the largest component (``base``), open members, pivots (one of it, others of any)."""
     inside = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"))
     one = F.struct(F.col("first").alias("pivot"), F.col("comp").alias("own"))
     others = [F.min(F.struct(F.xxhash64("node", "comp", F.lit(i)).alias("h"), one.alias("p"))) for i in range(PIVOTS)]
@@ -187,7 +291,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.max(F.struct("n", one.alias("p"))).alias("most"), F.array(*others).alias("others")
     )
     pivots = F.array_distinct(F.concat(F.array("most.p"), F.transform("others", lambda x: x["p"])))
-    return nodes.where(F.col("n") > F.col("most.n")).select("node", F.col("most.p.own").alias("base"), (F.col("n") - F.col("most.n")).alias("n_open"), pivots.alias("pivots"))
+    return nodes.where(F.col("n") > F.col("most.n")).select("node", "n", F.col("most.p.own").alias("base"), (F.col("n") - F.col("most.n")).alias("n_open"), pivots.alias("pivots"))
 
 
 def _branched(rows: DataFrame, level: int) -> DataFrame:
@@ -197,37 +301,54 @@ def _branched(rows: DataFrame, level: int) -> DataFrame:
     return made.withColumn("node", F.xxhash64("node", "child", F.lit(level), F.substring("least", at, F.lit(1)))).drop("child")
 
 
-def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(node, component) of all representatives that have a link."""
-    rows = cut_lineage(
-        classes.select("rep", F.posexplode("tokens").alias("tree", "token")).select(
-            "rep", "tree", F.xxhash64("tree", "token").alias("node"), F.col("rep").alias("comp")
-        )
-    )
-    known = None
-    for level in range(1, LEVELS + 1):
-        met = packed(rows.join(_nodes(rows), "node").withColumn("open", F.col("comp") != F.col("base")))
-        # Deeper nodes are fewer, so more of their members may be compared.
-        is_small = (F.col("n_open") <= SMALL * level) | F.lit(level == LEVELS)
-        small, large = met.where(is_small), met.where(~is_small)
-        one = small.where("open").select("node", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-        other = small.select("node", F.col("rep").alias("y"), F.col("comp").alias("cy"), "open")
-        near = one.join(other, "node").where((F.col("cx") != F.col("cy")) & (~F.col("open") | (F.col("x") < F.col("y")))).select(*_pair("x", "y"))
-        # Only pairs that can tell something become rows. No component is known at first, so one pivot does there.
-        apart = F.filter(F.slice("pivots", 1, 1 if level == 1 else 1 + PIVOTS), lambda p: p["own"] != F.col("comp"))
-        star = large.select("rep", F.explode(apart).alias("p")).select("rep", "p.pivot").select(*_pair("pivot", "rep"))
-        pairs = near.unionAll(star).where("a < b").distinct()
-        links = confirmed(packed(_alike(pairs, classes)), docs, width)
+def _renamed(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``rows`` with their components as known by now."""
+    if known is None:
+        return rows
+    return rows.drop("comp").join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _placed(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(place, first, rep, comp, ask): who meets in which task; and the rows of nodes with too many open members."""
+    met = rows.join(_nodes(rows), "node").withColumn("settled", F.col("n_open") <= most)
+    ask = F.when(F.col("settled"), F.col("comp") != F.col("base")).otherwise(F.exists("pivots", lambda p: p["pivot"] == F.col("rep")))
+    blocks = F.ceil((F.col("n") - F.when(F.col("settled"), F.col("n_open")).otherwise(0)) / BLOCK).cast("int")
+    met = packed(met.select("node", "rep", "comp", "settled", ask.alias("ask"), F.greatest(blocks, F.lit(1)).alias("blocks")))
+    block = F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))))
+    spread = met.select("node", "rep", "comp", "ask", block.alias("block"))
+    placed = spread.select(F.xxhash64("node", "block").alias("place"), (F.col("block") == 0).alias("first"), "rep", "comp", "ask")
+    return placed, met.where(~F.col("settled")).select("node", "rep", "comp")
+
+
+def _grown(rows: DataFrame, known: DataFrame | None, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame | None:
+    """The known components joined by the links of all nodes (node, rep, comp) and, where they are large, of those below them."""
+    level = 0
+    while True:
+        level += 1
+        most = SMALL * level
+        placed, large = _placed(rows, most)
+        members = placed.join(classes.select("rep", "set_id", "n_shingles", "sketch"), "rep").repartition("place").sortWithinPartitions("place")
+        links = _linked(packed(_suspected(members)), docs, width)
         if known is not None:
             links = links.unionAll(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        known = packed(components(links))
-        # Larger nodes branch on further minwise choices, as far as their members are not one component by now.
-        if level == LEVELS or large.limit(1).count() == 0:
+        known = packed(components(packed(links)))
+        if large.isEmpty():
             return known
-        down = large.select("node", "rep", "tree").join(classes.select("rep", F.concat("sketch", "further").alias("least")), "rep").join(
-            known.select(F.col("node").alias("rep"), "component"), "rep", "left"
-        )
-        rows = packed(_branched(down, level).withColumn("comp", F.coalesce("component", "rep")).select("rep", "tree", "node", "comp"))
+        # Nodes whose families the pivots have joined may be settled now; the others branch.
+        left = _renamed(large, known)
+        left = packed(left.join(_nodes(left).select("node", "n_open"), "node"))
+        wide = left.where(F.col("n_open") > most).join(classes.select("rep", F.concat("sketch", "further").alias("least")), "rep")
+        below = _branched(wide, level).select("node", "rep", "comp")
+        rows = packed(below.unionAll(left.where(F.col("n_open") <= most).select("node", "rep", "comp")))
+
+
+def class_components(docs: DataFrame, classes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, component) of all representatives that have a link."""
+    known = None
+    for trees in (F.col("tree") == 0, F.col("tree") > 0):
+        tokens = classes.select("rep", F.posexplode("tokens").alias("tree", "token")).where(trees)
+        rows = _renamed(tokens.select(F.xxhash64("tree", "token").alias("node"), "rep", F.col("rep").alias("comp")), known)
+        known = _grown(packed(rows), known, classes, docs, width)
     return known
 
 

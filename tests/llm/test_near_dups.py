@@ -82,7 +82,75 @@ def test_pairs_in_a_large_family(spark):
     print("together", found, "of", copies, "others", others)
     assert found >= 0.97 * copies
     assert others < found
-    assert max(near_dups.escape(depth) for depth in range(near_dups.LEVELS)) < 0.01
+    assert max(near_dups.escape(depth) for depth in range(16)) < 0.01
+
+
+def family(n, copies):
+    """Texts about 0.75 alike, each of the first ``copies`` with a twin at 0.80 to 0.85."""
+    shared = data.prose(5, 120)
+    own = [data.prose(1000 + i, 20).split() for i in range(n)]
+    twins = [own[i][:7] + data.prose(9000 + i, 13).split() for i in range(copies)]
+    return [f"{shared} {' '.join(w)}" for w in own + twins]
+
+
+@pytest.mark.parametrize("small", [4096, 150])
+def test_twins_in_a_large_family_are_found(spark, monkeypatch, small):
+    """By the operator itself, in one node and over branched ones; nothing else is linked."""
+    monkeypatch.setattr(near_dups, "SMALL", small)
+    monkeypatch.setattr(near_dups, "BLOCK", 200)
+    n, copies = 900, 300
+    docs = spark.createDataFrame(list(enumerate(family(n, copies))), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs, 4).collect()}
+    wrong = [i for i, c in found.items() if c != i and (i < n or c != i - n)]
+    together = sum(found[n + i] == i for i in range(copies))
+    print("twins", together, "of", copies)
+    assert not wrong and together >= 0.99 * copies
+
+
+def test_only_suspects_become_rows(spark, monkeypatch):
+    """Members per level, not pairs: twice the family makes about twice the rows."""
+    made = {}
+    suspected = near_dups._suspected
+
+    def counted(members):
+        out = near_dups.cut_lineage(suspected(members))
+        made[n] = made.get(n, 0) + members.count() + out.count()
+        return out
+
+    monkeypatch.setattr(near_dups, "_suspected", counted)
+    for n in (250, 500):
+        docs = spark.createDataFrame(list(enumerate(family(n, 0))), "doc_id long, text string").repartition(4)
+        assert all(r.kept for r in near_dups.near_duplicates(docs, 4).collect())
+    assert made[500] <= 2.2 * made[250] and made[500] < 500 * 499 / 2
+
+
+def test_exact_links_join_what_all_pairs_join():
+    r = random.Random(3)
+    import numpy as np
+
+    for _ in range(40):
+        bases = [[r.randrange(10_000) for _ in range(40)] for _ in range(3)]
+        sets = [np.unique([x if r.random() > 0.12 else r.randrange(10_000) for x in r.choice(bases)]).astype(np.uint64) for _ in range(25)]
+        comps = np.array([r.randrange(20) for _ in sets])
+        asks = np.ones(len(sets), bool)
+        alike = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+        def joined(links, comps=comps):
+            of = comps.tolist()
+            for i, j in links:
+                of = [of[i] if c == of[j] else c for c in of]
+            return [of.index(c) for c in of]
+
+        links = near_dups.exact_links(comps, asks, sets)
+        assert joined(links) == joined(alike) and len(links) <= len(set(comps.tolist())) - 1
+
+
+def test_an_id_with_two_texts(spark):
+    """Both texts count; other rows are linked with either."""
+    texts = [data.prose(i, 40) for i in (1, 2)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[1]), (6, texts[0] + " more"), (7, texts[1] + " more")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (6, 5), (7, 5)}
 
 
 def test_edges(spark):
