@@ -2,8 +2,9 @@
 
 A document is the set of its distinct words and their first letters (for inflected forms), hashed. The machine adds a weight for each term and, for each pair
 of terms, the product of their factors, so that an insult together with the mention of a group can weigh more than
-both alone. It is trained by AdaGrad on at most ``SAMPLE_ROWS`` labelled rows (chosen by a hash of the id), whose
-hashed terms are all that reaches the driver. The model is bounded by ``BUCKETS`` and sent to all
+both alone. It is trained by AdaGrad on the ``SAMPLE_ROWS`` labelled rows with the smallest hash of the id (all, if fewer), whose
+hashed terms are all that reaches the driver. Terms enter that go with the labels more than by chance, alone or, among the ``PAIR_TERMS``
+most frequent ones, in a pair that tells more than both terms do separately. The model is bounded by ``BUCKETS`` and sent to all
 executors; every text is scored whole.
 
 Null, empty and blank texts have no terms and get the base rate. Rows without id or label teach nothing. Of several
@@ -35,6 +36,9 @@ FACTORS = 4
 STEPS, BATCH = 4_000, 128
 LEAST_ROWS = 5  # training rows a term must occur in
 LEAST_SIGMAS = 4.0  # how far from chance a term must go with the labels; else invented and rare words are learned by heart
+PAIR_TERMS = 2048  # most frequent terms whose pairs are looked at
+PAIR_ROWS = 30  # training rows a pair must occur in
+PAIR_SIGMAS = 6.0  # there are far more pairs than terms, so chance must be farther away
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,6 +92,35 @@ def _forward(m: Model, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     return z, sums, flat, row
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
+    """Terms with a partner beside which the labels differ from what the two terms say separately."""
+    frequent = np.argsort(-counts, kind="stable")[:PAIR_TERMS]
+    frequent = frequent[(counts[frequent] >= PAIR_ROWS) & (counts[frequent] < len(rows))]
+    at = np.full(BUCKETS, -1, np.int32)
+    at[frequent] = np.arange(len(frequent))
+    both, bad = (np.zeros((len(frequent), len(frequent)), np.float32) for _ in range(2))
+    for i in range(0, len(rows), 1000):
+        x = np.zeros((len(rows[i : i + 1000]), len(frequent)), np.float32)
+        for r, row in zip(x, rows[i : i + 1000]):
+            own = at[row]
+            r[own[own >= 0]] = 1
+        both += x.T @ x
+        y = x[labels[i : i + 1000] > 0]
+        bad += y.T @ y
+    single = np.clip((toxic[frequent] + rate) / (counts[frequent] + 1), 1e-4, 1 - 1e-4)
+    # Terms that act on their own add up as logits.
+    apart = 1 / (1 + np.exp(-(_logit(single)[:, None] + _logit(single) - _logit(np.float64(rate)))))
+    far = np.abs(bad - both * apart) >= PAIR_SIGMAS * np.sqrt(np.maximum(both * apart * (1 - apart), 1))
+    far &= both >= PAIR_ROWS
+    # A term and its own beginning always stand together and tell nothing new.
+    far &= both < np.minimum(counts[frequent][:, None], counts[frequent])
+    return frequent[far.any(axis=0)]
+
+
 def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """Logistic loss, AdaGrad, and a penalty that keeps terms of few rows near zero."""
     counts = np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]), minlength=BUCKETS)
@@ -95,6 +128,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     toxic = np.bincount(np.concatenate([*(r for r, y in zip(rows, labels) if y), np.empty(0, np.int32)]), minlength=BUCKETS)
     telling = np.abs(toxic - counts * rate) >= LEAST_SIGMAS * np.sqrt(counts * rate * (1 - rate))
     kept = np.flatnonzero((counts >= LEAST_ROWS) & telling)
+    if len(rows):
+        kept = np.union1d(kept, telling_pairs(rows, labels, counts, toxic, rate))
     index = np.zeros(BUCKETS, np.int32)
     index[kept] = np.arange(1, len(kept) + 1)
     rng = np.random.default_rng(seed)
@@ -122,11 +157,10 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of about ``most`` labelled rows outside the held-out fold, or of all if there are no more."""
+    """(text, toxic) of the ``most`` labelled ids with the smallest hashes outside the held-out fold, or of all if there are no more."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     rows = usable.groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("toxic"))
-    share = min(1.0, most / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 

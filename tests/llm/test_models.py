@@ -97,6 +97,39 @@ def test_toxicity_learns_a_pair(spark):
     assert clean.columns == docs.columns and 1100 < clean.count() < 1300
 
 
+def test_toxicity_learns_exactly_one_of_two():
+    """Neither term alone differs from chance; only their pair tells."""
+    r = random.Random(1)
+    texts, labels = [], []
+    for i in range(4000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        texts.append(" ".join([data.prose(i, 20), *["dolt"] * a, *["newcomers"] * b]))
+        labels.append(float(a != b))
+    rows, labels = [toxicity.terms(t) for t in texts], np.array(labels)
+    model = toxicity.train(rows[:3000], labels[:3000])
+    right = (model.scores(rows[3000:]) >= 0.5) == (labels[3000:] > 0)
+    assert right.mean() > 0.97
+
+
+def test_toxicity_sums_all_pairs():
+    """The factorised score against the plain sum over pairs of terms."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(0.3, np.arange(30), rng.normal(size=30), rng.normal(size=(30, 4)))
+    rows = [np.array(sorted(rng.choice(np.arange(1, 30), n, replace=False)), np.int64) for n in (0, 1, 2, 9, 20)]
+    z = toxicity._forward(model, rows)[0]
+    for got, row in zip(z, rows):
+        pairs = sum(model.factors[a] @ model.factors[b] for i, a in enumerate(row) for b in row[:i])
+        assert math.isclose(got, 0.3 + model.weights[row].sum() + pairs, abs_tol=1e-9)
+
+
+def test_toxicity_samples_the_smallest_hashes(spark):
+    docs = data.documents(spark, [f"text {i}" for i in range(200)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    some = {r.text for r in toxicity.sample(docs, labels, 50).collect()}
+    more = {r.text for r in toxicity.sample(docs, labels, 100).collect()}
+    assert len(some) == 50 and len(more) == 100 and some < more
+
+
 def test_toxicity_edges(spark):
     docs = data.edge_docs(spark)
     labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (None, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
