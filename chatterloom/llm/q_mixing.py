@@ -31,15 +31,20 @@ y2 AS (SELECT y.*, rank1, gap1 - coalesce(size1, 0) AS gap2 FROM y LEFT JOIN f1
 f2 AS (SELECT source, arg_max(rank, (size, -rank)) AS rank2, max(size) AS size2 FROM y2
   WHERE NOT taken_in AND size > 0 AND size <= gap2 AND rank IS DISTINCT FROM rank1 GROUP BY source),
 y3 AS (SELECT y2.*, rank2, gap2 - coalesce(size2, 0) AS gap3 FROM y2 LEFT JOIN f2 ON y2.source IS NOT DISTINCT FROM f2.source),
-f3 AS (SELECT source, arg_max(rank, (size, -rank)) AS rank3 FROM y3
-  WHERE NOT taken_in AND size > 0 AND size <= gap3 AND rank IS DISTINCT FROM rank1 AND rank IS DISTINCT FROM rank2 GROUP BY source)
+f3 AS (SELECT source, arg_max(rank, (size, -rank)) AS rank3, max(size) AS size3 FROM y3
+  WHERE NOT taken_in AND size > 0 AND size <= gap3 AND rank IS DISTINCT FROM rank1 AND rank IS DISTINCT FROM rank2 GROUP BY source),
+y4 AS (SELECT y3.*, rank3, gap3 - coalesce(size3, 0) AS gap4 FROM y3 LEFT JOIN f3 ON y3.source IS NOT DISTINCT FROM f3.source),
+n AS (SELECT source, rank, CAST(sum(size) AS BIGINT) AS size, max(gap4) AS gap4 FROM y4 WHERE NOT taken_in AND size > 0
+  AND rank IS DISTINCT FROM rank1 AND rank IS DISTINCT FROM rank2 AND rank IS DISTINCT FROM rank3 GROUP BY source, rank),
+g AS (SELECT source, list_reduce(list({'gap': 0.0::DOUBLE, 'rank': rank, 'size': size, 'took': []::BIGINT[]} ORDER BY rank), lambda a, x:
+  CASE WHEN x.size <= a.gap THEN {'gap': a.gap - x.size, 'rank': a.rank, 'size': a.size, 'took': list_append(a.took, x.rank)} ELSE a END,
+  {'gap': CAST(max(gap4) AS DOUBLE), 'rank': 0::BIGINT, 'size': 0::BIGINT, 'took': []::BIGINT[]}).took AS took FROM n WHERE size <= gap4 GROUP BY source)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN taken_in OR rank IS NOT DISTINCT FROM rank1
-  OR rank IS NOT DISTINCT FROM rank2 OR rank IS NOT DISTINCT FROM rank3 THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM y3 LEFT JOIN f3 ON y3.source IS NOT DISTINCT FROM f3.source
+  OR rank IS NOT DISTINCT FROM rank2 OR rank IS NOT DISTINCT FROM rank3 OR coalesce(list_contains(took, rank), false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM y4 LEFT JOIN g ON y4.source IS NOT DISTINCT FROM g.source
 """
 
 
 @query("op5_mixing_sources", SQL)
 def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL states the first cut and three fills, and the query follows it; mix() and the pipeline go on until nothing fits.
-    return mix(table(spark, sf_dir, "documents"), further=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
