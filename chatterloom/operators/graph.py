@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterloom.functions import fixed_values as V
-from chatterloom.operators.scale import cut_lineage
+from chatterloom.operators.scale import broadcast_if_small, cut_lineage
 
 LEVELS_PER_FILE_SET = 8
 
@@ -126,14 +126,20 @@ def bfs_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def _walk_back(tree: DataFrame, v: int) -> DataFrame:
     """Path (array of ids) to v along ``parent`` links; no row if v is not in the tree.
 
-    The walker is a single row, so every step is a broadcast join with the tree.
+    Ancestor doubling: round i knows the first 2^i ancestors of v and adds those 2^i links above them, from a table of
+    everyone's 2^i-th ancestor that is joined with itself for the next round. A path of L links takes log L rounds.
     """
-    links = cut_lineage(tree.select(F.col("id").alias("_at"), F.col("parent").alias("_up")))
-    walker = cut_lineage(links.where(F.col("_at") == v).select(F.col("_up").alias("_next"), F.array("_at").alias("path")))
-    while not walker.where(F.col("_next").isNotNull()).isEmpty():
-        step = F.broadcast(walker).join(links, F.col("_next") == F.col("_at"))
-        walker = cut_lineage(step.select(F.col("_up").alias("_next"), F.concat(F.array("_at"), "path").alias("path")))
-    return walker.select("path")
+    jumps = cut_lineage(tree.where("parent IS NOT NULL").select(F.col("id").alias("_at"), F.col("parent").alias("_up")))
+    path, reach = cut_lineage(tree.where(F.col("id") == v).select("id", F.lit(0).cast("bigint").alias("_back"))), 1
+    while True:
+        above = cut_lineage(path.join(jumps, F.col("id") == F.col("_at")).select(F.col("_up").alias("id"), (F.col("_back") + reach).alias("_back")))
+        if above.isEmpty():
+            break
+        path, reach = path.unionAll(above), 2 * reach
+        ahead = jumps.select(F.col("_at").alias("_mid"), F.col("_up").alias("_far"))
+        jumps = cut_lineage(jumps.join(ahead, F.col("_up") == F.col("_mid")).select("_at", F.col("_far").alias("_up")))
+    whole = path.agg(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("_order"), "id"))).alias("_ids"))
+    return whole.where(F.size("_ids") > 0).select(F.transform("_ids", lambda x: x["id"]).alias("path"))
 
 
 def bfs_path(edges: DataFrame, u: int, v: int) -> DataFrame:
@@ -223,28 +229,52 @@ def shortest_path(edges: DataFrame, u: int, v: int) -> DataFrame:
     return _walk_back(cut_lineage(shortest_path_tree(edges, u)), v)
 
 
-def all_shortest_paths(edges: DataFrame, u: int, v: int) -> DataFrame:
-    """Every shortest path u -> v as an array of ids; a path is grown backwards from v."""
+def _path_counts(tight: DataFrame, v: int) -> DataFrame:
+    """``id, n``: number of paths to v over the path graph, for every vertex that has one."""
+    weights = cut_lineage(_single(tight, v).select("id", F.lit(1).cast("bigint").alias("n")))
+    found = [weights]
+    while not weights.isEmpty():
+        step = weights.join(tight, F.col("id") == F.col("dst"))
+        weights = cut_lineage(step.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n")))
+        found.append(weights)
+    return _gather(found).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def shortest_path_page(edges: DataFrame, u: int, v: int, first: int = 0, size: int | None = None) -> DataFrame:
+    """``nr, path``: the shortest paths u -> v number ``first`` and on, at most ``size``, in the order of their ids.
+
+    Paths are counted, not listed: the paths that begin with an edge have neighbouring numbers, so a number alone tells which way to
+    go from each vertex. The asked numbers are spread over all tasks and walk at the same time, one
+    row for a number and step; a page of a huge listing costs no more than its own paths.
+    """
     tight = cut_lineage(tight_edges(edges, cut_lineage(shortest_distances(edges, u))).select("src", "dst"))
-    growing = cut_lineage(_single(edges, v).select("id", F.array("id").alias("path")))
-    complete = [growing.where(F.col("id") == u)]
-    while not growing.isEmpty():
-        step = growing.join(tight, F.col("id") == F.col("dst"))
-        growing = cut_lineage(step.select(F.col("src").alias("id"), F.concat(F.array("src"), "path").alias("path")))
-        complete.append(growing.where(F.col("id") == u))
-    return _gather(complete).select("path")
+    counts = cut_lineage(_path_counts(tight, v))
+    mine = counts.where(F.col("id") == u).first()
+    total = 0 if mine is None else mine["n"]
+    before = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
+    ways = tight.join(counts, F.col("dst") == F.col("id")).select("src", "dst", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_from"), "n")
+    ways = broadcast_if_small(cut_lineage(ways.withColumn("_until", F.col("_from") + F.col("n")).drop("n")))
+    last = total if size is None else min(total, first + size)
+    numbers = edges.sparkSession.range(first, max(first, last)).withColumnRenamed("id", "nr")
+    walkers = cut_lineage(numbers.select("nr", F.lit(u).cast("bigint").alias("at"), F.col("nr").alias("_rest"), F.lit(0).alias("step")))
+    steps = [walkers]
+    while not walkers.isEmpty():
+        here = (F.col("at") == F.col("src")) & (F.col("_rest") >= F.col("_from")) & (F.col("_rest") < F.col("_until"))
+        walkers = cut_lineage(walkers.join(ways, here).select("nr", F.col("dst").alias("at"), (F.col("_rest") - F.col("_from")).alias("_rest"), (F.col("step") + 1).alias("step")))
+        steps.append(walkers)
+    lists = _gather(steps).groupBy("nr").agg(F.array_sort(F.collect_list(F.struct("step", "at"))).alias("_s"))
+    return lists.select("nr", F.transform("_s", lambda s: s["at"]).alias("path"))
+
+
+def all_shortest_paths(edges: DataFrame, u: int, v: int) -> DataFrame:
+    """Every shortest path u -> v as an array of ids."""
+    return shortest_path_page(edges, u, v).select("path")
 
 
 def count_shortest_paths(edges: DataFrame, u: int, v: int) -> DataFrame:
     """Number of shortest paths u -> v, summed over the path graph without listing paths."""
     tight = cut_lineage(tight_edges(edges, cut_lineage(shortest_distances(edges, u))).select("src", "dst"))
-    weights = cut_lineage(_single(edges, v).select("id", F.lit(1).cast("bigint").alias("n")))
-    arrived = [weights.where(F.col("id") == u)]
-    while not weights.isEmpty():
-        step = weights.join(tight, F.col("id") == F.col("dst"))
-        weights = cut_lineage(step.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n")))
-        arrived.append(weights.where(F.col("id") == u))
-    return _gather(arrived).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_paths"))
+    return _path_counts(tight, v).where(F.col("id") == u).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_paths"))
 
 
 def all_pairs_distances(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ WALK = f"""walk AS (SELECT id, parent, id::VARCHAR AS path FROM tree WHERE id =
   UNION ALL SELECT t.id, t.parent, t.id || '>' || w.path FROM walk w JOIN tree t ON t.id = w.parent)"""
 
 
-def path_text(df: DataFrame) -> DataFrame:
-    return df.select(F.array_join(F.transform("path", lambda p: p.cast("string")), ">").alias("path"))
+def path_text(df: DataFrame, *others: str) -> DataFrame:
+    return df.select(*others, F.array_join(F.transform("path", lambda p: p.cast("string")), ">").alias("path"))
 
 
 @query("grf_01_size", f"WITH {VERTICES}, {EDGES} SELECT (SELECT count(*) FROM vertices) AS n_vertices, (SELECT count(*) FROM edges) AS n_edges")
@@ -189,6 +189,17 @@ def grf_13(spark: SparkSession, d: str) -> DataFrame:
     return path_text(G.all_shortest_paths(hierarchy(spark, d), START, GOAL))
 
 
+@query(
+    "grf_13_path_page",
+    f"""WITH RECURSIVE {EDGES}, {DISTANCES}, {BACKWARDS} SELECT nr, path FROM (
+      SELECT row_number() OVER (ORDER BY list_transform(string_split(path, '>'), lambda x: x::BIGINT)) - 1 AS nr, path FROM back WHERE id = {START})
+    WHERE nr BETWEEN 1 AND 3""",
+)
+def grf_13_page(spark: SparkSession, d: str) -> DataFrame:
+    page = G.shortest_path_page(hierarchy(spark, d), START, GOAL, first=1, size=3)
+    return path_text(page, "nr")
+
+
 @query("grf_13_path_count", f"WITH RECURSIVE {EDGES}, {DISTANCES}, {BACKWARDS} SELECT count(*) AS n_paths FROM back WHERE id = {START}")
 def grf_13_count(spark: SparkSession, d: str) -> DataFrame:
     return G.count_shortest_paths(hierarchy(spark, d), START, GOAL)

@@ -229,6 +229,24 @@ def snk_03(spark: SparkSession, d: str) -> DataFrame:
     return posts.union(comments.select("page_id", "post_id", F.col("comment_id").alias("turn"), F.col("comment_content").alias("text")))
 
 
+@query(
+    "snk_03_committed_batch",
+    f"""SELECT page_id, post_id, 0 AS turn, post_content AS text FROM ({_replaced_sql("", "post_content", "turn = 0")})
+    UNION ALL SELECT page_id, post_id, turn, comment_content FROM ({_replaced_sql("turn,", "comment_content", "turn > 0")})""",
+)
+def snk_03_committed(spark: SparkSession, d: str) -> DataFrame:
+    path, posts, comments = scratch(spark), _page_rows(spark, d, True), _page_rows(spark, d, False)
+    store.commit_batch(posts, comments, path, range(20))
+    store.commit_batch(_replaced(posts, "post_content"), _replaced(comments, "comment_content"), path, [3, 7, 11])
+    # What a killed write leaves behind is not read.
+    posts.write.partitionBy("page_id").parquet(f"{path}/posts/batch=unfinished")
+    saved = store.read_committed(spark, path, "posts", "post_id bigint, post_content string")
+    answers = store.read_committed(spark, path, "comments", "post_id bigint, comment_id bigint, comment_content string")
+    return saved.select("page_id", "post_id", F.lit(0).cast("bigint").alias("turn"), F.col("post_content").alias("text")).union(
+        answers.select("page_id", "post_id", "comment_id", "comment_content")
+    )
+
+
 @query(
     "snk_04_save_profiles",
     """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN url || '#2' ELSE url END AS website FROM pages

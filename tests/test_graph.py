@@ -37,6 +37,26 @@ def test_diamond(spark):
     assert G.count_shortest_paths(edges, 0, 3).first()[0] == 2
 
 
+def test_pages_of_paths(spark):
+    """Any page of a listing equals that slice of all paths in order; a ladder of 8 squares has 256 paths."""
+    rungs = [(3 * i, 3 * i + k, 1.0) for i in range(8) for k in (1, 2)] + [(3 * i + k, 3 * i + 3, 1.0) for i in range(8) for k in (1, 2)]
+    edges = edges_df(spark, rungs)
+    assert G.count_shortest_paths(edges, 0, 24).first()["n_paths"] == 256
+    every = [[0, *(x for i, c in enumerate(f"{nr:08b}") for x in (3 * i + 1 + int(c), 3 * i + 3))] for nr in range(256)]
+    page = sorted(map(tuple, G.shortest_path_page(edges, 0, 24, first=250, size=10).collect()))
+    assert [(nr, list(path)) for nr, path in page] == list(enumerate(every))[250:]
+    assert G.shortest_path_page(edges, 0, 24, first=300).count() == 0 and G.shortest_path_page(edges, 24, 0).count() == 0
+    assert [r["path"] for r in G.all_shortest_paths(edges, 6, 6).collect()] == [[6]]
+
+
+def test_paths_of_any_length(spark):
+    """Doubling walks chains whose length is no power of two, and from the root itself."""
+    edges = edges_df(spark, [(i, i + 1, 1.0) for i in range(13)])
+    for goal in (0, 1, 2, 7, 8, 13):
+        assert G.bfs_path(edges, 0, goal).first()["path"] == list(range(goal + 1))
+        assert G.shortest_path(edges, 0, goal).first()["path"] == list(range(goal + 1))
+
+
 def test_edit(spark):
     edges = edges_df(spark, [(0, 1)])
     both = G.insert_edges(edges, edges_df(spark, [(1, 2), (0, 1)]), directed=False, unique=True)

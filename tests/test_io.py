@@ -73,6 +73,48 @@ def test_replace_pages(spark, tmp_path):
         store.save_posts(spark.createDataFrame([(9, 1, "x")], schema), path, [1])
 
 
+def test_a_killed_batch_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    kinds = {"posts": "post_id bigint, post_content string", "comments": "post_id bigint, comment_content string"}
+
+    def commit(posts, comments, pages):
+        made = [spark.createDataFrame(rows, f"page_id bigint, {kind}") for rows, kind in zip((posts, comments), kinds.values())]
+        return store.commit_batch(*made, path, pages)
+
+    def stored(version=None):
+        return [sorted(map(tuple, store.read_committed(spark, path, kind, schema, version).select("page_id", "post_id", F.col(schema.split()[2])).collect())) for kind, schema in kinds.items()]
+
+    assert stored() == [[], []]
+    assert commit([(1, 1, "a"), (2, 1, "b")], [(1, 1, "ca")], [1, 2]) == 0
+    old = [[(1, 1, "a"), (2, 1, "b")], [(1, 1, "ca")]]
+    assert stored() == old
+    # Killed between posts and comments, and between comments and the manifest.
+    for step in (1, 2):
+        calls = []
+
+        def killed(*a, step=step, calls=calls, real=store.compose_letters):
+            calls.append(a)
+            if len(calls) > step:
+                raise KeyboardInterrupt
+            return real(*a)
+
+        monkeypatch.setattr(store, "compose_letters" if step == 1 else "_manifest", killed if step == 1 else lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            commit([(1, 9, "new")], [(1, 9, "new")], [1])
+        monkeypatch.undo()
+        assert stored() == old
+    assert commit([(1, 2, "x")], [], [1, 2, 3]) == 1
+    assert stored() == [[(1, 2, "x")], []] and stored(0) == old
+    with pytest.raises(ValueError):
+        commit([(9, 1, "x")], [], [1])
+    # Another writer was first.
+    monkeypatch.setattr(store, "latest_version", lambda *a: 0)
+    with pytest.raises(RuntimeError):
+        commit([(1, 3, "late")], [], [1])
+    monkeypatch.undo()
+    assert stored() == [[(1, 2, "x")], []]
+
+
 def test_profiles(spark, tmp_path):
     path = str(tmp_path / "profiles")
     schema = "page_id bigint, page_name string, ord int"
