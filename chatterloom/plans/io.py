@@ -321,6 +321,24 @@ def snk_09(spark: SparkSession, d: str) -> DataFrame:
     return files.read_lexicon_xml(spark, path)
 
 
+@query("snk_09_unigram_xml", f"WITH {lm.TOKENS} SELECT token AS content, CAST(freq AS VARCHAR) AS msd FROM unigram")
+def snk_09_unigrams(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark)
+    sinks.write_lexicon_xml(sinks.unigram_records(lm.unigrams(spark, d)), path)
+    return files.read_lexicon_xml(spark, path)
+
+
+@query(
+    "snk_10_conditional_xml",
+    f"""WITH {lm.TOKENS}, {lm.BIGRAMS}, {lm.COND} SELECT second || '|' || first AS content, printf('%.3f', prob) AS msd FROM cond""",
+)
+def snk_10_xml(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark)
+    probabilities = ngram.conditional_probability(lm.bigrams(spark, d), lm.unigrams(spark, d))
+    sinks.write_lexicon_xml(sinks.probability_records(probabilities), path)
+    return files.read_lexicon_xml(spark, path)
+
+
 @query(
     "snk_10_conditional_lines",
     f"""WITH {lm.TOKENS}, {lm.BIGRAMS}, {lm.COND}
@@ -365,6 +383,23 @@ def snk_15(spark: SparkSession, d: str) -> DataFrame:
     return words.groupBy(F.col("w._t").alias("rule")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "snk_15_tagged_xml",
+    f"""WITH {TAGGED_TOKENS} SELECT row_number() OVER (ORDER BY doc_id) AS rank, string_agg(token || chr(9) || rule, chr(10) ORDER BY pos) AS words
+    FROM tokens GROUP BY doc_id""",
+)
+def snk_15_tagged(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence as it was written, in order: one text is one sentence here."""
+    path = scratch(spark)
+    sinks.write_corpus_xml(sinks.sentence_records(tagged_tokens(spark, d), ["doc_id"], ["pos"]), path, ["doc_id"])
+    schema = "w array<struct<_VALUE:string,_t:string>>, p string"
+    read = spark.read.format("xml").option("rowTag", "s").schema(schema).load(path)
+    at = F.monotonically_increasing_id().alias("at")
+    lines = F.array_join(F.transform("w", lambda w: F.concat_ws("\t", w["_VALUE"], w["_t"])), "\n")
+    placed = read.select(F.input_file_name().alias("file"), at, lines.alias("words"))
+    return global_rank(placed, [F.col("file"), F.col("at")]).select("rank", "words")
+
+
 @query(
     "snk_16_tokenised_text",
     f"""WITH {TAGGED_TOKENS} SELECT row_number() OVER (ORDER BY doc_id) AS rank,
@@ -372,7 +407,9 @@ def snk_15(spark: SparkSession, d: str) -> DataFrame:
 )
 def snk_16(spark: SparkSession, d: str) -> DataFrame:
     lines = token_line(tagged_tokens(spark, d).withColumn("part", F.lit(0)), "doc_id")
-    read = files.read_texts(spark, written(lines, F.col("text"), "doc_id"))
+    path = scratch(spark)
+    sinks.write_tokenised(lines, path, "doc_id")
+    read = files.read_texts(spark, path)
     return global_rank(read, [F.col("file"), F.col("line_no")]).select("rank", "text")
 
 

@@ -65,6 +65,11 @@ def write_words(words: DataFrame, word: str, path: str) -> None:
     words.select(F.col(word).alias("value")).write.text(path)
 
 
+def write_tokenised(lines: DataFrame, path: str, *order: str, text: str = "text") -> None:
+    """Tokenised texts, one per line, words joined by underscores; sorted over all tasks by ``order``."""
+    (lines.orderBy(*order) if order else lines).select(F.col(text).alias("value")).write.text(path)
+
+
 def plain_token(token: Column, rule: Column) -> Column:
     return token
 
