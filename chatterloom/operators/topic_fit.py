@@ -162,6 +162,11 @@ class TermRows:
             found = self.table.select(F.posexplode("totals").alias("c", "x")).groupBy("c").agg(F.sum("x").alias("x")).collect()
             self.totals = np.array([r["x"] for r in sorted(found)])
 
+    def totals_of(self, k: int) -> list[float]:
+        """Totals of the topics of one model."""
+        first = int(self.m.starts[self.m.ks.index(k)])
+        return self.totals[first : first + k].tolist()
+
     def run(self, blocks: DataFrame, work: Callable[[Iterator[tuple[Bags, np.ndarray, bytes | None]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """``work`` over (bags, probabilities of their terms, state) of all blocks."""
         m, totals = self.m, self.totals
@@ -276,7 +281,7 @@ def term_rows(terms: TermRows, only: int) -> DataFrame:
     """(idx, weights): each term's share of the topics of one model."""
     m = terms.m
     first = int(m.starts[m.ks.index(only)])
-    totals = terms.totals[first : first + only]
+    totals = np.array(terms.totals_of(only))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
