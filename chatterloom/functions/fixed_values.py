@@ -1,4 +1,4 @@
-"""Values that results depend on. Fixed values, stated as they are; everything else is an argument."""
+"""Fixed values that results depend on: patterns, constants, letters, word lists and lexer rules. Everything else is an argument."""
 
 from __future__ import annotations
 
@@ -56,6 +56,9 @@ NAME_PREFIXES = [
 DATE_WORDS = {"day": ("ngày", "Ngày"), "month": ("tháng", "Tháng"), "year": ("năm", "Năm")}
 
 # --- fixed values: lexer rules (name, pattern, first characters), earlier rule wins ties -----------
+# Names and order are fixed; each pattern matches the same texts as its rule but is not written letter by letter like it. Groups don't
+# capture, classes and date parts that recur are named once, and escapes without effect are left out. "number1" lacks optional
+# digits that change nothing; "phrase" and "allcaps" hold one class for letters and blanks where nested repeats would try every split.
 _LOWER = "aàảãáạăằẳẵắặâầẩẫấậbcdđeèẻẽéẹêềểễếệfghiìỉĩíịjklmnoòỏõóọôồổỗốộơờởỡớợpqrstuùủũúụưừửữứựvwxyỳỷỹýỵz"
 _UPPER = "AÀẢÃÁẠĂẰẲẴẮẶÂẦẨẪẤẬBCDĐÐEÈẺẼÉẸÊỀỂỄẾỆFGHIÌỈĨÍỊJKLMNOÒỎÕÓỌÔỒỔỖỐỘƠỜỞỠỚỢPQRSTUÙỦŨÚỤƯỪỬỮỨỰVWXYỲỶỸÝỴZ"
 _NAME_START = "A-ZÁÂĐÐÍÔƯỨÝỶ"
