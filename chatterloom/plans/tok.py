@@ -9,6 +9,7 @@ from chatterloom.operators import lexer as L
 from chatterloom.operators import segment as S
 from chatterloom.operators import tokenize as T
 from chatterloom.operators.scale import cut_lineage
+from chatterloom.operators.sentences import ABBREVIATION, learn, period_scores, sentences
 from chatterloom.plans.registry import query
 from chatterloom.plans.txt import MOVED_SQL, documents, sql_list
 
@@ -144,6 +145,37 @@ def tok_09(spark: SparkSession, d: str) -> DataFrame:
     return T.split_sentences(documents(spark, d), "doc_id", "text")
 
 
+@query(
+    "tok_09_period_scores",
+    r"""WITH t AS (SELECT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS raw FROM documents),
+    b AS (SELECT regexp_replace(regexp_replace(raw, '^["''(\[“‘]+', ''), '["'')\]”’]+$', '') AS token FROM t),
+    w AS (SELECT lower(regexp_replace(token, '\.$', '')) AS word, ends_with(token, '.') AS period FROM b),
+    c AS (SELECT word, count(*) FILTER (period) AS n_with, count(*) FILTER (NOT period) AS n_without FROM w WHERE word <> '' GROUP BY word),
+    p AS (SELECT sum(n_with)::DOUBLE / sum(n_with + n_without) AS p FROM c),
+    s AS (SELECT *, length(replace(word, '.', '')) AS l, CASE WHEN n_with = 0 THEN 0 ELSE n_with * ln(p) END + CASE WHEN n_without = 0 THEN 0 ELSE n_without * ln(1 - p) END AS chance,
+      n_with * ln(0.99) + n_without * ln(1 - 0.99::DOUBLE) AS one FROM c, p)
+    SELECT word, n_with, n_without, CASE WHEN regexp_matches(word, '\p{L}') AND n_with > 0 AND l > 0
+      AND -2 * (chance - one) * exp(-l) * (length(word) - l + 1) * pow(l::DOUBLE, -n_without::DOUBLE) >= 0.3 THEN 1 ELSE 0 END AS abbreviation FROM s""",
+)
+def tok_09_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of every word with and without a period, and which ones pass for abbreviations."""
+    scored = period_scores(documents(spark, d), "text")
+    return scored.select("word", "n_with", "n_without", (F.col("score") >= ABBREVIATION).cast("int").alias("abbreviation"))
+
+
+@query(
+    "tok_09_learned_sentences",
+    r"""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), ' ') AS text FROM documents
+    WHERE len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) > 0""",
+)
+def tok_09_learned(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put together again from the sentences of the learned split: none is lost, repeated or out of order."""
+    docs = documents(spark, d).select("doc_id", "text")
+    cut = sentences(docs, "doc_id", "text", learn(docs, "text"))
+    whole = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sentence_no", "sentence"))).alias("s"))
+    return whole.select("doc_id", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("text"))
+
+
 TAGGED_TOKENS = r"""raw AS (SELECT doc_id, regexp_extract_all(text, '\p{Lu}\p{Ll}*(?: \p{Lu}\p{Ll}+)*|\p{Ll}+|[0-9]+[-/.][0-9]+|[0-9]+|[^\x00-\x20]') AS t FROM documents),
 tokens AS (SELECT doc_id, i - 1 AS pos, t[i] AS token, CASE WHEN regexp_matches(t[i], '^\p{Lu}') THEN 'name2'
   WHEN regexp_matches(t[i], '^(?:19|20)[0-9][0-9]$') THEN 'date_yyyy' WHEN regexp_matches(t[i], '^[0-9]+$') THEN 'number1'
