@@ -121,8 +121,9 @@ def sentences(texts: DataFrame, row_id: str, text: str, learned: Boundaries) ->
     base = texts.select(row_id, F.col(text).alias("_whole"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_text")).withColumn("_t", tokens_of(F.col("_whole"))).where(F.size("_t") > 0)
     bare = lambda i: _bare(F.get("_t", i))
     spots = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: (i < F.size("_t") - 1) & bare(i).rlike(r"[.?!]$"))
-    ends = base.select(*key, "_t", F.explode(spots).alias("_i")).distinct()
-    ends = ends.select(*key, "_i", bare(F.col("_i")).alias("token"), bare(F.col("_i") + 1).alias("next"))
+    # An end carries its two tokens, never the text around it.
+    around = F.transform(spots, lambda i: F.struct(i.alias("_i"), bare(i).alias("token"), bare(i + 1).alias("next")))
+    ends = base.select(*key, F.inline(around)).distinct()
     ends = ends.withColumn("word", _word(F.col("token"))).withColumn("follower", _word(F.col("next")))
     facts = (
         ends.join(broadcast_if_small(learned.abbreviations().withColumn("_short", F.lit(True))), "word", "left")

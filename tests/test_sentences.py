@@ -69,3 +69,13 @@ def test_nothing_is_lost(spark):
     got = S.sentences(docs, "doc_id", "text", learned).collect()
     assert sorted(w for r in got for w in r["sentence"].split()) == sorted(w for _, t in rows for w in t.split())
     assert S.learn(docs.limit(0), "text").words.count() == 0
+
+
+def test_ends_move_without_their_text(spark):
+    """No row of a sentence end carries the tokens of the whole text into a shuffle."""
+    docs = table(spark, corpus()[:10])
+    key = docs.columns[0]
+    cut = S.sentences(docs, key, "text", S.learn(docs, "text"))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line and "_i#" in line]
+    assert grouped and not any("_t#" in line for line in grouped)
