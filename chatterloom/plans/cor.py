@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chatterloom.functions import text as X
 from chatterloom.operators import corpus as C
 from chatterloom.plans.registry import query, table
-from chatterloom.plans.txt import documents
+from chatterloom.plans.txt import documents, documents_in_order
 
 TAGGED = "tagged AS (SELECT doc_id, regexp_replace(text, '(\\S+)', '\\1/N', 'g') AS text FROM documents)"
 TRIM = "regexp_replace({}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
@@ -19,7 +19,7 @@ def tagged_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_rows(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", F.posexplode(F.split("text", r"\s")).alias("pos", "token"))
+    return documents_in_order(spark, d).select("doc_id", F.posexplode(F.split("text", r"\s")).alias("pos", "token"))
 
 
 @query(

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from chatterloom.operators import ngram as N
 from chatterloom.plans.registry import query
-from chatterloom.plans.txt import documents
+from chatterloom.plans.txt import documents, documents_in_order
 
 
-def token_arrays(spark: SparkSession, d: str) -> DataFrame:
+def token_arrays(spark: SparkSession, d: str, read=documents) -> DataFrame:
     tokens = F.filter(F.split("text", r"\s+"), lambda t: t != "")
-    return documents(spark, d).select("doc_id", tokens.alias("tokens"))
+    return read(spark, d).select("doc_id", tokens.alias("tokens"))
 
 
 def unigrams(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def lm_03(spark: SparkSession, d: str) -> DataFrame:
     FROM bigram GROUP BY ALL""",
 )
 def lm_03_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = token_arrays(spark, d).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    lines = token_arrays(spark, d, documents_in_order).select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     return N.bigram_counts_of_lines(lines, ["doc_id"], "pos", "token", ignore_case=True)
 
 
