@@ -21,9 +21,15 @@ def word_list(spark: SparkSession, words: list[str]) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-def lookups(spark: SparkSession, d: str) -> S.Lookups:
-    """All tables of the sentiment job; lexicon and frequencies come from the documents."""
-    frequencies = cut_lineage(lexicon_of(word_frequencies(spark, d)))
+def lookups(spark: SparkSession, d: str, tokenised: bool = True) -> S.Lookups:
+    """All tables of the sentiment job; lexicon and frequencies come from the documents.
+
+    They are counted here for jobs that find words with them. A job whose texts are blank separated (``tokenised=False``) never reads
+    them: for it they stay a plan, and no text is counted.
+    """
+    frequencies = lexicon_of(word_frequencies(spark, d))
+    if tokenised:
+        frequencies = cut_lineage(frequencies)
     return S.Lookups(
         lookup(spark, EMOTICONS), lookup(spark, EMOJI), lookup(spark, SPELLING), stop_words(spark), word_list(spark, OPINION_WORDS),
         frequencies.select("word"), frequencies,
@@ -138,7 +144,7 @@ def talk_candidates(spark: SparkSession, d: str) -> DataFrame:
     SELECT text_id, text FROM four WHERE length(text) > 7""",
 )
 def sen_09(spark: SparkSession, d: str) -> DataFrame:
-    return S.training_candidates(talk_candidates(spark, d), "text_id", "text", lookups(spark, d))
+    return S.training_candidates(talk_candidates(spark, d), "text_id", "text", lookups(spark, d, tokenised=False))
 
 
 # A sentiment lexicon made from the words of the documents: three synsets per frequent word.
