@@ -14,7 +14,7 @@ from chatterloom.functions import fixed_values as V
 from chatterloom.functions import text as X
 from chatterloom.operators.cleaning import clean_text, normal_words, remove_stop_words
 from chatterloom.operators.relational import unnest_texts
-from chatterloom.operators.scale import INLINE_ROWS, broadcast_if_small, small_rows
+from chatterloom.operators.scale import INLINE_ROWS, broadcast_if_small, cut_lineage, small_rows
 from chatterloom.operators.tokenize import token_line, tokenize
 
 
@@ -57,7 +57,12 @@ def classifier_stages(buckets: int = V.HASH_BUCKETS, min_doc_freq: int = V.MIN_D
 
 
 def train_classifier(labelled: DataFrame, stop_words: DataFrame, row_id: str = "doc_id") -> PipelineModel:
-    return classifier_stages().fit(training_tokens(labelled, stop_words, row_id))
+    """The stages fitted one after the other; texts are cut into words and counted once, all further passes read the counts."""
+    hashing, weights, regression = classifier_stages().getStages()
+    counted = hashing.transform(training_tokens(labelled, stop_words, row_id)).select("label", hashing.getOutputCol())
+    counted = cut_lineage(counted)
+    weights = weights.fit(counted)
+    return PipelineModel([hashing, weights, regression.fit(weights.transform(counted))])
 
 
 def hashed_counts(docs: DataFrame, tokens: str = "tokens", buckets: int = V.HASH_BUCKETS) -> DataFrame:

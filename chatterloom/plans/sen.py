@@ -89,7 +89,7 @@ def sen_04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sen_05_labels")
 def sen_05(spark: SparkSession, d: str) -> DataFrame:
-    return S.classify(talk_texts(spark, d), "text_id", "text", classifier(spark, d), lookups(spark, d)).select("text_id", "label")
+    return S.classify(talk_texts(spark, d), "text_id", "text", classifier(spark, d), lookups(spark, d, tokenised=False)).select("text_id", "label")
 
 
 @query(
@@ -234,4 +234,4 @@ def sen_16(spark: SparkSession, d: str) -> DataFrame:
 def sen_17(spark: SparkSession, d: str) -> DataFrame:
     lines = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("line_id"), "line")
-    return S.classify(lines, "line_id", "line", classifier(spark, d), lookups(spark, d)).select("line_id", "label")
+    return S.classify(lines, "line_id", "line", classifier(spark, d), lookups(spark, d, tokenised=False)).select("line_id", "label")
