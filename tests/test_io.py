@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chatterloom.operators import directories, ngram
+from chatterloom.operators import directories, lexer, ngram
 from chatterloom.operators import sentiment as S
 from chatterloom.operators.corpus import line_differences, rebuild_sentences
 from chatterloom.sinks import store
@@ -190,3 +190,17 @@ def test_stream_equals_batch(spark, tmp_path, words_df):
     score_stream(stream_texts(spark, source, texts.schema, 2), score, output, str(tmp_path / "chk"))
     streamed = sorted(map(tuple, spark.read.parquet(output).select("id", "score").collect()))
     assert streamed == sorted(map(tuple, score(texts).select("id", "score").collect()))
+
+
+def test_lines_of_tokens_are_the_grouped_tokens(spark):
+    rows = [(3, "One two.\n\n12/3/2020 ok"), (1, None), (2, "a b\r\nc"), (2, "c d e\r\nb a"), (None, "x\ny"), (5, " \n"), (4, "")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines = lexer.lex_lines(texts, "doc_id", "text")
+    keys = ["doc_id", "line"]
+    made = sinks.sentence_records(lines, keys, ["pos"], listed="tokens")
+    expected = sinks.sentence_records(lexer.lex(texts, "doc_id", "text"), keys, ["pos"])
+    order = lambda r: (r["doc_id"] or 0, r["line"])
+    assert sorted(made.collect(), key=order) == sorted(expected.collect(), key=order)
+    assert [order(r) for r in lines.collect()] == sorted(order(r) for r in lines.collect())
+    plan = made.sortWithinPartitions(*keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1  # of the texts; nothing made of them moves
