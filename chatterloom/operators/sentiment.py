@@ -14,7 +14,7 @@ from chatterloom.functions import fixed_values as V
 from chatterloom.functions import text as X
 from chatterloom.operators.cleaning import clean_text, normal_words, remove_stop_words
 from chatterloom.operators.relational import unnest_texts
-from chatterloom.operators.scale import INLINE_ROWS, broadcast_if_small, cut_lineage, small_rows
+from chatterloom.operators.scale import INLINE_ROWS, broadcast_if_small, cut_lineage, kept_table, small_rows
 from chatterloom.operators.tokenize import token_line, tokenize
 
 
@@ -279,6 +279,9 @@ def sentence_scores(
 def lexicon_sentiment(
     texts: DataFrame, row_id: str, text: str, scores: DataFrame, negations: DataFrame, lexicon: DataFrame, frequencies: DataFrame | None = None
 ) -> DataFrame:
-    """Tokenise, then score with the weighted lexicon (entries of several syllables use underscores)."""
-    lines = token_line(tokenize(texts, row_id, text, lexicon, frequencies), row_id)
+    """Tokenise, then score with the weighted lexicon (entries of several syllables use underscores).
+
+    The tokenised lines are written once: scoring reads them twice.
+    """
+    lines = kept_table(token_line(tokenize(texts, row_id, text, lexicon, frequencies), row_id))
     return sentence_scores(lines, row_id, "text", scores, negations)

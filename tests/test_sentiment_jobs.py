@@ -36,3 +36,11 @@ def test_training_reads_texts_once(spark):
     assert model.stages[1].idf == plain.stages[1].idf and model.stages[2].coefficients == plain.stages[2].coefficients
     tokens = S.training_tokens(labelled, stop_words)
     assert model.transform(tokens).select("doc_id", "prediction").exceptAll(plain.transform(tokens).select("doc_id", "prediction")).isEmpty()
+
+
+def test_lexicon_sentiment_tokenises_once(spark, words_df):
+    texts = spark.createDataFrame([(1, "a good day"), (1, "a good day"), (2, "not good"), (3, None)], "id int, text string")
+    scores = spark.createDataFrame([("good", 0.5), ("day", -0.25)], "word string, score double")
+    scored = S.lexicon_sentiment(texts, "id", "text", scores, words_df(["not"]), words_df(["good", "day"]))
+    assert "MapInPandas" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, scored.collect())) == [(1, 0.13), (2, -0.5)]
