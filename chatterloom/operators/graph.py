@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterloom.functions import fixed_values as V
-from chatterloom.operators.scale import broadcast_if_small, cut_lineage
+from chatterloom.operators.scale import broadcast_if_small, cut_lineage, join_null_safe, kept_table
 
 LEVELS_PER_FILE_SET = 8
 
@@ -280,22 +280,58 @@ def count_shortest_paths(edges: DataFrame, u: int, v: int) -> DataFrame:
 def all_pairs_distances(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``src, dst, dist`` for all connected pairs, 0 from a vertex to itself.
 
-    Distances double their reach every round. The result has up to V * V rows: for small graphs.
+    Distances double their reach every round. The result has up to V * V rows: for small graphs. A round joins what the last one found or
+    improved with all pairs, on either side; pairs of a vertex with itself lengthen nothing and take no part. Each round keeps only its own finds:
+    a pair that is improved later stays in its older table and loses to the smaller distance.
     """
     own = vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"))
-    start = _lightest(edges).withColumnRenamed("weight", "dist").unionByName(own)
-    known = cut_lineage(start.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.lit(True).alias("_new")))
-    while not known.where("_new").isEmpty():
-        left = known.select("src", F.col("dst").alias("_mid"), F.col("dist").alias("_a"))
-        right = known.select(F.col("src").alias("_mid"), "dst", F.col("dist").alias("_b"))
-        offers = left.join(right, "_mid").groupBy("src", "dst").agg(F.min(F.col("_a") + F.col("_b")).alias("_offer"))
-        better = F.col("dist").isNull() | (F.col("_offer") < F.col("dist"))
-        known = cut_lineage(
-            offers.join(known.select("src", "dst", "dist"), ["src", "dst"], "left").select(
-                "src", "dst", F.when(better, F.col("_offer")).otherwise(F.col("dist")).alias("dist"), better.alias("_new")
-            )
-        )
-    return known.select("src", "dst", "dist")
+    links = _lightest(edges.where("src IS NOT NULL")).withColumnRenamed("weight", "dist").select("src", "dst", "dist")
+    fresh = kept_table(links.unionByName(own).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
+    found = [fresh]
+    while not fresh.isEmpty():
+        before = found[:-1]
+        offers = _longer(fresh, _gather(found))
+        if before:
+            offers = offers.unionByName(_longer(_gather(before), fresh))
+        # Offers and known distances meet in one grouping: a pair is fresh if its best offer beats what is known.
+        known = _gather(found).select("src", "dst", F.col("dist").alias("_known"), F.lit(None).cast("double").alias("_offer"))
+        offers = offers.select("src", "dst", F.lit(None).cast("double").alias("_known"), F.col("dist").alias("_offer"))
+        best = known.unionByName(offers).groupBy("src", "dst").agg(F.min("_known").alias("_known"), F.min("_offer").alias("dist"))
+        fresh = kept_table(best.where(F.col("dist").isNotNull() & (F.col("_known").isNull() | (F.col("dist") < F.col("_known")))).select("src", "dst", "dist"))
+        found.append(fresh)
+        if len(found) > LEVELS_PER_FILE_SET:
+            # The last table stays apart, for the next round.
+            found = [kept_table(_gather(found[:-1]).groupBy("src", "dst").agg(F.min("dist").alias("dist"))), fresh]
+    pairs = _gather(found[:-1]).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    return _through_vertices(pairs, vertices, edges)
+
+
+def _longer(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of ``left`` lengthened by pairs of ``right``."""
+    ahead = right.where("NOT src <=> dst").select(F.col("src").alias("_mid"), F.col("dst").alias("_to"), F.col("dist").alias("_b"))
+    back = left.where("NOT src <=> dst").select("src", F.col("dst").alias("_mid"), F.col("dist").alias("_a"))
+    return back.join(ahead, "_mid").select("src", F.col("_to").alias("dst"), (F.col("_a") + F.col("_b")).alias("dist"))
+
+
+def _through_vertices(pairs: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Without pairs of ends that are both no vertices, unless a vertex lies on a way between them. A null end is no vertex."""
+    known = vertices.select("id").where("id IS NOT NULL").distinct()
+    starts, ends = (edges.select(c).distinct().join(known, F.col(c) == F.col("id"), "left_anti").where(F.col(c).isNotNull()) for c in ("src", "dst"))
+    starts = cut_lineage(starts)
+    if starts.isEmpty():
+        return pairs
+    pairs = kept_table(pairs)
+    ends = cut_lineage(ends.unionByName(starts.select(F.lit(None).cast("bigint").alias("dst")).limit(1)))
+    stray = pairs.where("NOT src <=> dst").join(broadcast_if_small(starts), "src", "left_semi")
+    stray = join_null_safe(stray, broadcast_if_small(ends), ["dst"], "left_semi")
+    if stray.isEmpty():
+        return pairs
+    middle = known.select(F.col("id").alias("_mid"))
+    heads = pairs.join(stray.select("src").distinct(), "src", "left_semi").select("src", F.col("dst").alias("_mid")).join(middle, "_mid")
+    tails = pairs.join(stray.select("dst").distinct(), "dst", "left_semi").select(F.col("src").alias("_mid"), "dst")
+    crossed = heads.join(tails, "_mid").select("src", "dst").distinct()
+    lost = stray.join(crossed, ["src", "dst"], "left_anti").select("src", "dst")
+    return join_null_safe(pairs, lost.withColumn("_lost", F.lit(True)), ["src", "dst"], "left").where("_lost IS NULL").drop("_lost")
 
 
 # --- closure ----------------------------------------------------------------------------------------------

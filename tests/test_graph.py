@@ -99,3 +99,30 @@ def test_tiny_two_way_weights_end(spark):
     edges = edges_df(spark, [(0, 1, 1e-12), (1, 0, 1e-12), (1, 2, 1.0), (2, 1, 1.0)])
     assert {tuple(r["path"]) for r in G.all_shortest_paths(edges, 0, 2).collect()} == {(0, 1, 2)}
     assert G.count_shortest_paths(edges, 0, 2).first()["n_paths"] == 1
+
+
+def test_all_pairs_join_only_what_is_new(spark, monkeypatch):
+    """A chain: every round offers pairs that are not known yet, not all known ones again."""
+    n, offered = 24, []
+    longer = G._longer
+
+    def counted(left, right):
+        out = longer(left, right)
+        offered.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "_longer", counted)
+    edges = edges_df(spark, [(i, i + 1, 1.0) for i in range(n)])
+    pairs = {tuple(r) for r in G.all_pairs_distances(spark.range(n + 1), edges).collect()}
+    assert pairs == {(i, j, float(j - i)) for i in range(n + 1) for j in range(i, n + 1)}
+    # All ways to cut a pair into two shorter ones, once each, are n * (n + 1) * (n - 1) / 6.
+    assert sum(offered) <= n * (n + 1) * (n - 1) // 6
+
+
+def test_all_pairs_with_nulls_and_strangers(spark):
+    rows = [(0, 1, 2.0), (0, 1, 1.0), (1, None, 1.0), (None, 1, 1.0), (7, 8, 1.0), (7, 1, 1.0), (1, 8, 3.0), (9, 8, 1.0)]
+    edges = edges_df(spark, rows)
+    vertices = spark.createDataFrame([(0,), (0,), (1,), (None,)], "id long")
+    pairs = sorted(map(str, map(tuple, G.all_pairs_distances(vertices, edges).collect())))
+    wanted = [(0, 0, 0.0), (1, 1, 0.0), (None, None, 0.0), (0, 1, 1.0), (1, None, 1.0), (0, None, 2.0), (7, 1, 1.0), (7, 8, 1.0), (1, 8, 3.0), (0, 8, 4.0)]
+    assert pairs == sorted(map(str, wanted))
