@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatterloom.functions import fixed_values as V
-from chatterloom.operators.scale import cut_lineage, lagged
+from chatterloom.operators.scale import cut_lineage, lagged, with_entries
+
+# Characters of texts whose triples are combined before they move, and triples that are put together in one step.
+TRIPLE_CHARS = 16_000_000
+TRIPLES = 1_000_000
 
 
 def unigram_counts(tokens: DataFrame, token: str = "token") -> DataFrame:
@@ -138,3 +147,115 @@ def resolve_ambiguities(
     joined = triples.join(left, ["first", "second"], "left").join(right, ["second", "third"], "left")
     first_score, second_score = (F.coalesce(c, F.lit(0.0)) for c in ("first_score", "second_score"))
     return joined.select("first", "second", "third", (first_score >= second_score).alias("is_first_group"))
+
+
+# --- the resolver over all triples of texts -----------------------------------------------------------
+
+# What moves: one row per block and bucket; each column holds the values of its triples, one per line.
+WORDS, COUNTS = ["first", "second", "third"], ["n", "n_first", "n_second", "n_third"]
+
+
+def _ends(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, and behind the last one its end."""
+    new = np.ones(len(sorted_keys[0]) + 1, bool)
+    new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+def _packed(words: pa.Array, ids: dict[str, np.ndarray], counts: dict[str, np.ndarray], by: tuple[str, str], buckets: int) -> pa.Table:
+    """Triples as one row per bucket of the pair ``by``."""
+    hashed = np.array([zlib.crc32(w.encode()) for w in words.to_pylist()], np.uint64)
+    bucket = (hashed[ids[by[0]]] * np.uint64(1_000_003) + hashed[ids[by[1]]]) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    at = _ends(bucket[order])
+    columns = {k: words.take(pa.array(v[order])) for k, v in ids.items()} | {k: pa.array(v[order]).cast(pa.string()) for k, v in counts.items()}
+    lists = {k: pa.ListArray.from_arrays(pa.array(at, pa.int32()), v.cast(pa.large_string())) for k, v in columns.items()}
+    joined = {k: pc.binary_join(v, pa.scalar("\n", pa.large_string())).cast(pa.string()) for k, v in lists.items()}
+    return pa.table({"bucket": pa.array(bucket[order][at[:-1]].astype(np.int32)), **joined})
+
+
+def _unpacked(rows: pa.Table, counts: Sequence[str]) -> tuple[pa.Array, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The words that occur (the empty one first), the triples as numbers of words, and their counts."""
+    flat = {k: pa.chunked_array([pc.split_pattern(c.cast(pa.large_string()), "\n").flatten() for c in rows.column(k).chunks]).combine_chunks() for k in [*WORDS, *counts]}
+    size = len(flat["first"])
+    encoded = pa.concat_arrays([pa.array([""], pa.large_string()), *[flat[k] for k in WORDS]]).dictionary_encode()
+    numbers = encoded.indices.to_numpy()[1:].astype(np.int64)
+    ids = {k: numbers[i * size : (i + 1) * size] for i, k in enumerate(WORDS)}
+    return encoded.dictionary, ids, {k: flat[k].cast(pa.int64()).to_numpy() for k in counts}
+
+
+def _triples_of_block(rows: pa.Table, entries: pa.Table, buckets: int) -> pa.Table:
+    """Distinct triples of a block of texts, how often each occurs, and the counts of their words.
+
+    The empty word stands before the first and behind the last token.
+    """
+    lists = pc.split_pattern(pa.concat_arrays(rows.column("_line").chunks).cast(pa.large_string()), "\n")
+    known = pa.concat_arrays(entries.column("word").chunks).cast(pa.large_string())
+    words = pa.concat_arrays([pa.array([""], pa.large_string()), known])
+    total = np.concatenate([[0], entries.column("freq").to_numpy()])
+    second = pc.index_in(lists.flatten(), words).to_numpy().astype(np.int64)
+    starts, ends = (np.asarray(x) for x in (lists.offsets[:-1], lists.offsets[1:]))
+    first, third = np.roll(second, 1), np.roll(second, -1)
+    first[starts], third[ends - 1] = 0, 0
+    order = np.lexsort((third, second, first))
+    ids = {k: v[order] for k, v in zip(WORDS, (first, second, third))}
+    at = _ends(*ids.values())
+    ids = {k: v[at[:-1]] for k, v in ids.items()}
+    counts = {"n": np.diff(at)} | {f"n_{k}": total[v] for k, v in ids.items()}
+    return _packed(words, ids, counts, ("first", "second"), buckets)
+
+
+def _with_first_pairs(rows: pa.Table, buckets: int) -> pa.Table:
+    """All triples of some first pairs, each once, beside the count of the pair; on their way to their second pairs."""
+    words, ids, counts = _unpacked(rows, COUNTS)
+    order = np.lexsort(tuple(ids[k] for k in reversed(WORDS)))
+    ids, counts = ({k: v[order] for k, v in x.items()} for x in (ids, counts))
+    pairs, at = _ends(ids["first"], ids["second"]), _ends(*ids.values())
+    n_pair = np.repeat(np.add.reduceat(counts["n"], pairs[:-1]), np.diff(pairs))
+    n = np.add.reduceat(counts["n"], at[:-1])
+    ids, counts = {k: v[at[:-1]] for k, v in ids.items()}, {k: v[at[:-1]] for k, v in counts.items()} | {"n": n, "n_pair": n_pair[at[:-1]]}
+    going = ids["third"] != 0
+    ids, counts = ({k: v[going] for k, v in x.items()} for x in (ids, counts))
+    return _packed(words, ids, counts, ("second", "third"), buckets)
+
+
+def _with_second_pairs(rows: pa.Table, lambda1: float, lambda2: float) -> pa.Table:
+    """The triples of some second pairs, resolved."""
+    words, ids, counts = _unpacked(rows, [*COUNTS, "n_pair"])
+    order = np.lexsort((ids["third"], ids["second"]))
+    ids, counts = ({k: v[order] for k, v in x.items()} for x in (ids, counts))
+    pairs = _ends(ids["second"], ids["third"])
+    n_second_pair = np.repeat(np.add.reduceat(counts["n"], pairs[:-1]), np.diff(pairs))
+    whole = ids["first"] != 0
+    ids, counts = ({k: v[whole] for k, v in x.items()} for x in (ids, counts))
+    first_score = lambda1 * (counts["n_pair"] / counts["n_first"]) + lambda2 * counts["n_second"]
+    second_score = lambda1 * (n_second_pair[whole] / counts["n_second"]) + lambda2 * counts["n_third"]
+    return pa.table({k: words.take(pa.array(v)).cast(pa.string()) for k, v in ids.items()} | {"is_first_group": first_score >= second_score})
+
+
+def resolve_ambiguities_of_texts(
+    docs: DataFrame,
+    tokens: str,
+    unigrams: DataFrame,
+    lambda1: float = V.RESOLVER_LAMBDA1,
+    lambda2: float = V.RESOLVER_LAMBDA2,
+    block_chars: int = TRIPLE_CHARS,
+    triples: int = TRIPLES,
+) -> DataFrame:
+    """``resolve_ambiguities`` for every distinct triple of neighbours in token arrays, with the pair probabilities of the same arrays.
+
+    Tokens are not empty and hold no line break; ``unigrams`` counts them (``token, freq``). Texts meet the counts of their words in blocks, the
+    triples of a block are combined there, and then move twice, packed: to the others of their first pair and to those of their second. A
+    pair's count is the sum over its triples, so bigrams and their probabilities are not moved on their own. No key is a single
+    word, so a frequent one is spread over all buckets.
+    """
+    lines = docs.select(F.array_join(tokens, "\n").alias("_line")).where("_line != ''")
+    total = unigrams.agg(F.sum("freq")).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // triples))
+    entries = unigrams.select(F.col("token").alias("word"), "freq")
+    packed = lambda counts: T.StructType([T.StructField("bucket", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in [*WORDS, *counts]]])
+    resolved = T.StructType([*[T.StructField(c, T.StringType()) for c in WORDS], T.StructField("is_first_group", T.BooleanType())])
+    words = F.array_distinct(F.split("_line", "\n"))
+    seen = with_entries(lines, F.length("_line"), words, entries, lambda rows, known: _triples_of_block(rows, known, buckets), packed(COUNTS), block_chars)
+    left = seen.groupBy("bucket").applyInArrow(lambda rows: _with_first_pairs(rows, buckets), packed([*COUNTS, "n_pair"]))
+    return left.groupBy("bucket").applyInArrow(lambda rows: _with_second_pairs(rows, lambda1, lambda2), resolved)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterloom.operators import ngram as N
+from chatterloom.operators.scale import kept_table
 from chatterloom.plans.registry import query
 from chatterloom.plans.txt import documents, documents_in_order
 
@@ -125,10 +126,4 @@ def lm_08(spark: SparkSession, d: str) -> DataFrame:
       LEFT JOIN scored b ON t.second = b.first AND t.third = b.second""",
 )
 def lm_09(spark: SparkSession, d: str) -> DataFrame:
-    arrays = token_arrays(spark, d)
-    size = F.greatest(F.size("tokens") - 2, F.lit(0))
-    pairs = F.arrays_zip(F.slice("tokens", F.lit(1), size), F.slice("tokens", F.lit(2), size), F.slice("tokens", F.lit(3), size))
-    made = F.transform(pairs, lambda p: F.struct(p["0"].alias("first"), p["1"].alias("second"), p["2"].alias("third")))
-    triples = arrays.select(F.inline(made)).distinct()
-    counts = unigrams(spark, d)
-    return N.resolve_ambiguities(triples, N.conditional_probability(bigrams(spark, d), counts), counts)
+    return N.resolve_ambiguities_of_texts(token_arrays(spark, d), "tokens", kept_table(unigrams(spark, d)))

@@ -77,3 +77,26 @@ def test_terms_of_one_block_stay(spark, monkeypatch):
     moved = next(r for r in told if r["shard"] == 0)
     assert np.frombuffer(moved["at"], np.int64).tolist() == [0]
     assert np.frombuffer(moved["sums"]).reshape(-1, 5)[0][:2].sum() == pytest.approx(5)
+
+
+@pytest.mark.parametrize("block_chars, triples", [(5, 2), (40, 7), (10_000, 10_000)])
+def test_triples_move_packed(spark, block_chars, triples):
+    """Bigrams and triples are no rows on their way, and the resolver says what it says over joined tables."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [str(w) for w in rng.choice(["a", "b", "ç", "d\x1f", "e f", "le"], rng.integers(0, 9))]) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, ["one"]), (61, ["a", "b", "a", "b"])], "id int, t array<string>").repartition(5)
+    made = F.expr("transform(sequence(0, greatest(size(t) - 3, 0)), i -> struct(get(t, i) AS first, get(t, i + 1) AS second, get(t, i + 2) AS third))")
+    wanted = docs.select(F.inline(made)).where("third IS NOT NULL").distinct()
+    counts = N.unigram_counts(docs.select(F.explode("t").alias("token")))
+    joined = N.resolve_ambiguities(wanted, N.conditional_probability(N.bigram_counts(docs, "t"), counts), counts)
+    found = N.resolve_ambiguities_of_texts(docs, "t", counts, block_chars=block_chars, triples=triples)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect()))
+    none = N.resolve_ambiguities_of_texts(docs.where("id > 99"), "t", counts.where("freq < 0"))
+    assert none.columns == joined.columns and none.isEmpty()
+
+
+def test_resolver_moves_less_than_a_copy_of_the_triples(spark, tmp_path):
+    texts = [(i, " ".join(f"w{(i * 31 + k * k) % 97}" for k in range(40))) for i in range(50)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = lm.lm_09(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[first" not in plan and "(first" not in plan
