@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 from chatterloom.functions import fixed_values as V
 from chatterloom.operators.scale import cut_lineage, lagged, with_entries
 
+# Bytes of texts whose words and pairs are combined before they move.
+COUNTED_BYTES = 16_000_000
+# Characters of texts for each bucket of words and pairs.
+BUCKET_CHARS = 4_000_000
 # Characters of texts whose triples are combined before they move, and triples that are put together in one step.
 TRIPLE_CHARS = 16_000_000
 TRIPLES = 1_000_000
@@ -54,6 +58,94 @@ def bigram_counts_of_lines(
     return _pair_counts(paired.select("first", F.col(token).alias("second")), ignore_case)
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """One number per word, the same in every task."""
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+
+
+def _pair_bucket(hashed: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
+    return (hashed[first] * np.uint64(1_000_003) + hashed[second]) % np.uint64(buckets)
+
+
+def _ends(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, and behind the last one its end."""
+    new = np.ones(len(sorted_keys[0]) + 1, bool)
+    new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+def _dealt(bucket: np.ndarray, columns: dict[str, pa.Array]) -> pa.Table:
+    """One row per bucket; each column holds its values there, one per line."""
+    order = np.argsort(bucket, kind="stable")
+    at = _ends(bucket[order])
+    lists = {k: pa.ListArray.from_arrays(pa.array(at, pa.int32()), v.take(pa.array(order)).cast(pa.large_string())) for k, v in columns.items()}
+    joined = {k: pc.binary_join(v, pa.scalar("\n", pa.large_string())).cast(pa.string()) for k, v in lists.items()}
+    return pa.table({"bucket": pa.array(bucket[order][at[:-1]].astype(np.int32)), **joined})
+
+
+def _values(rows: pa.Table, column: str) -> pa.Array:
+    """The values of a column that was dealt out."""
+    return pa.chunked_array([pc.split_pattern(c.cast(pa.large_string()), "\n").flatten() for c in rows.column(column).chunks]).combine_chunks()
+
+
+def _counts_of_block(texts: pa.Array, end: str, buckets: int) -> pa.Table:
+    """Words and neighbouring pairs of a block of texts with their counts, dealt out by bucket."""
+    lines = pc.split_pattern(texts, end).flatten()
+    lists = pc.ascii_split_whitespace(lines)
+    tokens = lists.flatten()
+    kept = pc.binary_length(tokens).to_numpy() > 0
+    line = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))[kept]
+    encoded = tokens.filter(pa.array(kept)).dictionary_encode()
+    ids = encoded.indices.to_numpy().astype(np.int64)
+    words, size = encoded.dictionary, len(encoded.dictionary)
+    pairs, n_pairs = np.unique((ids[:-1] * size + ids[1:])[line[:-1] == line[1:]], return_counts=True)
+    first, second = (pairs // size, pairs % size) if size else (pairs, pairs)
+    joined = pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second)), pa.scalar(" ", pa.large_string()))
+    hashed = _hashes(words)
+    bucket = np.concatenate([hashed % np.uint64(buckets), _pair_bucket(hashed, first, second, buckets)])
+    freq = pa.array(np.concatenate([np.bincount(ids, minlength=size), n_pairs])).cast(pa.string())
+    return _dealt(bucket, {"word": pa.concat_arrays([words, joined]), "freq": freq})
+
+
+def _counts_of_bucket(rows: pa.Table) -> pa.Table:
+    found = pa.table({"word": _values(rows, "word"), "freq": _values(rows, "freq").cast(pa.int64())}).group_by("word").aggregate([("freq", "sum")])
+    return pa.table({"word": found.column("word").cast(pa.string()), "freq": found.column("freq_sum")})
+
+
+def word_and_pair_counts(texts: DataFrame, text: str, end: str, cleaned: Column | None = None, block: int = COUNTED_BYTES, bucket: int = BUCKET_CHARS) -> DataFrame:
+    """``word, freq`` of all words and neighbouring pairs (joined by a blank), with their counts.
+
+    Words of ``cleaned`` (``text`` as it is by default) are cut by blanks, tabs and line breaks; a pair has no ``end`` between its words. Counts are combined for blocks of about
+    ``block`` bytes of texts, and move packed, one row per block and bucket of words and pairs.
+    """
+    size = texts.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
+    filled = texts.select((F.col(text) if cleaned is None else cleaned).alias("text")).where("text != ''")
+    buckets = max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // bucket))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[pa.RecordBatch]:
+            yield from _counts_of_block(pa.concat_arrays(waiting), end, buckets).to_batches()
+
+        waiting, size = [], 0
+        for batch in batches:
+            column = batch.column(0).cast(pa.large_string())
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
+            start = 0
+            while start < len(column):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + block - size, "right")) - 1)
+                waiting.append(column.slice(start, stop - start))
+                size += int(ends[stop] - ends[start])
+                start = stop
+                if size >= block or start < len(column):
+                    yield from made()
+                    waiting, size = [], 0
+        if waiting:
+            yield from made()
+
+    packed = filled.mapInArrow(run, "bucket int, word string, freq string")
+    return packed.groupBy("bucket").applyInArrow(_counts_of_bucket, "word string, freq bigint")
+
+
 def total_count(unigrams: DataFrame) -> DataFrame:
     return unigrams.agg(F.sum("freq").alias("total"))
 
@@ -155,33 +247,21 @@ def resolve_ambiguities(
 WORDS, COUNTS = ["first", "second", "third"], ["n", "n_first", "n_second", "n_third"]
 
 
-def _ends(*sorted_keys: np.ndarray) -> np.ndarray:
-    """Where a run of equal keys begins, and behind the last one its end."""
-    new = np.ones(len(sorted_keys[0]) + 1, bool)
-    new[1:-1] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
-    return np.flatnonzero(new)
-
-
 def _packed(words: pa.Array, ids: dict[str, np.ndarray], counts: dict[str, np.ndarray], by: tuple[str, str], buckets: int) -> pa.Table:
     """Triples as one row per bucket of the pair ``by``."""
-    hashed = np.array([zlib.crc32(w.encode()) for w in words.to_pylist()], np.uint64)
-    bucket = (hashed[ids[by[0]]] * np.uint64(1_000_003) + hashed[ids[by[1]]]) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    at = _ends(bucket[order])
-    columns = {k: words.take(pa.array(v[order])) for k, v in ids.items()} | {k: pa.array(v[order]).cast(pa.string()) for k, v in counts.items()}
-    lists = {k: pa.ListArray.from_arrays(pa.array(at, pa.int32()), v.cast(pa.large_string())) for k, v in columns.items()}
-    joined = {k: pc.binary_join(v, pa.scalar("\n", pa.large_string())).cast(pa.string()) for k, v in lists.items()}
-    return pa.table({"bucket": pa.array(bucket[order][at[:-1]].astype(np.int32)), **joined})
+    bucket = _pair_bucket(_hashes(words), ids[by[0]], ids[by[1]], buckets)
+    columns = {k: words.take(pa.array(v)) for k, v in ids.items()} | {k: pa.array(v).cast(pa.string()) for k, v in counts.items()}
+    return _dealt(bucket, columns)
 
 
 def _unpacked(rows: pa.Table, counts: Sequence[str]) -> tuple[pa.Array, dict[str, np.ndarray], dict[str, np.ndarray]]:
     """The words that occur (the empty one first), the triples as numbers of words, and their counts."""
-    flat = {k: pa.chunked_array([pc.split_pattern(c.cast(pa.large_string()), "\n").flatten() for c in rows.column(k).chunks]).combine_chunks() for k in [*WORDS, *counts]}
-    size = len(flat["first"])
-    encoded = pa.concat_arrays([pa.array([""], pa.large_string()), *[flat[k] for k in WORDS]]).dictionary_encode()
+    flat = [_values(rows, k) for k in WORDS]
+    size = len(flat[0])
+    encoded = pa.concat_arrays([pa.array([""], pa.large_string()), *flat]).dictionary_encode()
     numbers = encoded.indices.to_numpy()[1:].astype(np.int64)
     ids = {k: numbers[i * size : (i + 1) * size] for i, k in enumerate(WORDS)}
-    return encoded.dictionary, ids, {k: flat[k].cast(pa.int64()).to_numpy() for k in counts}
+    return encoded.dictionary, ids, {k: _values(rows, k).cast(pa.int64()).to_numpy() for k in counts}
 
 
 def _triples_of_block(rows: pa.Table, entries: pa.Table, buckets: int) -> pa.Table:

@@ -57,10 +57,13 @@ def classifier_stages(buckets: int = V.HASH_BUCKETS, min_doc_freq: int = V.MIN_D
 
 
 def train_classifier(labelled: DataFrame, stop_words: DataFrame, row_id: str = "doc_id") -> PipelineModel:
-    """The stages fitted one after the other; texts are cut into words and counted once, all further passes read the counts."""
+    """The stages fitted one after the other; texts are cut into words and counted once, all further passes read the counts.
+
+    A pass sends one vector of sums per task, so passes run as many tasks as there are cores, whatever the size of the input.
+    """
     hashing, weights, regression = classifier_stages().getStages()
     counted = hashing.transform(training_tokens(labelled, stop_words, row_id)).select("label", hashing.getOutputCol())
-    counted = cut_lineage(counted)
+    counted = cut_lineage(counted).coalesce(labelled.sparkSession.sparkContext.defaultParallelism)
     weights = weights.fit(counted)
     return PipelineModel([hashing, weights, regression.fit(weights.transform(counted))])
 

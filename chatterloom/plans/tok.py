@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterloom.operators import lexer as L
+from chatterloom.operators import ngram as N
 from chatterloom.operators import segment as S
 from chatterloom.operators import tokenize as T
 from chatterloom.operators.scale import cut_lineage
@@ -27,10 +28,8 @@ def phrases(spark: SparkSession, d: str) -> DataFrame:
 
 def word_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Single words and neighbouring pairs of the phrases, with their counts."""
-    words = phrases(spark, d).select(F.split("phrase", " +").alias("w"))
-    n = F.size("w") - 1
-    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return words.select(F.explode(F.concat("w", pairs)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    text = F.regexp_replace(F.lower("text"), r"[^\p{L}\x00-\x20]+", ".")
+    return N.word_and_pair_counts(documents(spark, d), "text", ".", F.regexp_replace(text, r"[\x00-\x08\x0E-\x1F]", " "))
 
 
 def lexicon_of(frequencies: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """What is moved between tasks: texts instead of their pieces, shared terms only, lines not at all."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import SparseVector
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatterloom.operators import corpus as C
 from chatterloom.operators import ngram as N
+from chatterloom.operators import sentiment as S
 from chatterloom.operators import topic_fit as T
 from chatterloom.operators import topics as P
 from chatterloom.operators.scale import cut_lineage, in_order
@@ -100,3 +104,44 @@ def test_resolver_moves_less_than_a_copy_of_the_triples(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = lm.lm_09(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate(keys=[first" not in plan and "(first" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 30, 10_000])
+def test_words_and_pairs_are_counted_in_blocks(spark, block):
+    """One row per word or pair of a block reaches the shuffle, and the counts are those of single words."""
+    rng = np.random.default_rng(3)
+    lines = lambda: "|".join(" ".join(rng.choice(["a", "é", "b\u00a0c"], rng.integers(0, 6))) for _ in range(rng.integers(1, 4)))
+    texts = [None, "", "a", " a|a \n\tbc ", "|", " ", *(lines() for _ in range(40))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    wanted = Counter()
+    for line in "|".join(t for t in texts if t).split("|"):
+        words = re.split(r"[ \t\n]+", line.strip(" "))
+        words = [w for w in words if w]
+        wanted.update([*words, *map(" ".join, zip(words, words[1:]))])
+    found = N.word_and_pair_counts(df, "text", "|", block=block, bucket=9)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted.items())
+    assert N.word_and_pair_counts(df.where("text = ' '"), "text", "|").isEmpty()
+    assert "explode" not in found._jdf.queryExecution().toString()
+
+
+def test_odd_characters_cut_phrases_as_before(spark, tmp_path):
+    texts = ["A  b\tc!d ", " -- ", "one two\n\nthree. - ,four five", None, "", "x\x00y z1z 2", "é́a İb ß ΑΣ Σ", "a - b", " . a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = tok.phrases(spark, str(tmp_path)).select(F.split("phrase", " +").alias("w"))
+    n = F.size("w") - 1
+    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    plain = words.select(F.explode(F.concat("w", pairs)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    counted = tok.word_frequencies(spark, str(tmp_path))
+    assert counted.schema["freq"].dataType == plain.schema["freq"].dataType
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_training_passes_run_as_many_tasks_as_cores(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "cut_lineage", lambda df: df)
+    fit = S.IDF.fit
+    monkeypatch.setattr(S.IDF, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    rows = [(i, i % 2, f"good w{i % 7} bad w{i % 3}") for i in range(90)]
+    labelled = spark.createDataFrame(rows, "doc_id long, label int, text string").repartition(30)
+    S.train_classifier(labelled, spark.createDataFrame([("the",)], "word string"))
+    assert seen == [spark.sparkContext.defaultParallelism]
