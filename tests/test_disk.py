@@ -4,12 +4,15 @@ import glob
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chatterloom.operators import segment as S
+from chatterloom.operators import tokenize as M
 from chatterloom.operators import topic_fit as T
 from chatterloom.operators import topics as P
-from chatterloom.operators.scale import cut_lineage, discard, kept_table
+from chatterloom.operators.scale import cut_lineage, discard, kept_table, with_entries
 from chatterloom.session import ensure_checkpoint_dir
 from tests.test_topic_fit import corpus, table
 
@@ -65,3 +68,42 @@ def test_discarded_tables_leave_no_files(spark):
     here = cut_tables(spark)
     discard(kept)
     assert len(here - cut_tables(spark)) == 1
+
+
+def test_tokens_move_packed_to_their_dates(spark):
+    """No window over single tokens; null and repeated keys are keys, null tokens join nothing."""
+    words = {"day": ("of",), "month": ("in",), "year": ("the",)}
+    rows = [(k, i, t, r) for k in (1, None, 2) for i, (t, r) in enumerate([("of", "w"), ("1/2", "date_dd-mm"), (None, "w"), ("in", "w"), ("3/2016", "date_mm-yyyy"), ("the", "w")])]
+    rows += [(2, 6, "7", "number1"), (3, 0, "7", "number1"), (4, 0, "of", "w"), (5, 0, None, None)]
+    df = spark.createDataFrame(rows, "id long, pos int, token string, rule string").repartition(5)
+    merged = M.merge_dates(df, ["id"], ["pos"], words)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "content" in plan and merged.columns == df.columns
+    own = [(1, "of 1/2"), (2, None), (4, "in 3/2016")]
+    assert sorted(((r["id"] or 0, r["pos"], r["token"] or "") for r in merged.collect())) == sorted(
+        [(k, p, t or "") for k in (0, 1) for p, t in [*own, (5, "the")]] + [(2, p, t or "") for p, t in own] + [(2, 6, "the 7"), (3, 0, "7"), (4, 0, "of"), (5, 0, "")]
+    )
+
+
+def test_choices_are_resolved_without_rows_for_their_words(spark):
+    listed = spark.createDataFrame([(i, c, ws) for i in range(9) for c, ws in enumerate([["a b", "c"], ["a", "b c", "d"], []])], "id long, choice int, words array<string>")
+    freq = spark.createDataFrame([("a b", i) for i in range(4)] + [("b c", 9), ("z", None)], "word string, freq long")
+    found = S.resolve(listed, ["id"], freq)
+    assert "explode" not in found._jdf.queryExecution().toString()
+    assert {tuple(r) for r in found.select("id", "freq", F.array_join("words", "|")).collect()} == {(i, 9, "a|b c|d") for i in range(9)}
+
+
+def test_blocks_and_lookups_move_compressed(spark):
+    """Rows of every kind come back as they were, beside the entries of their block; words without entries find nothing."""
+    rows = spark.createDataFrame([(i, None if i % 3 else f"w{i}", [f"w{i}", None, "x\ny"]) for i in range(30)], "id long, name string, words array<string>").repartition(3)
+    entries = spark.createDataFrame([(f"w{i}", i) for i in range(0, 30, 2)] + [(None, 5), ("x\ny", 7)], "word string, n long")
+
+    def work(rows, found):
+        known = dict(zip(found.column("word").to_pylist(), found.column("n").to_pylist()))
+        made = [sum(known.get(w, 0) for w in ws) for ws in rows.column("words").to_pylist()]
+        return pa.table({"id": rows.column("id"), "name": rows.column("name"), "n": pa.array(made, pa.int64())})
+
+    for chars, bucket in ((1, 1), (7, 50), (1000, 1000)):
+        found = with_entries(rows, F.lit(1), F.col("words"), entries, work, rows.select("id", "name", F.lit(1).cast("long").alias("n")).schema, chars, bucket_chars=bucket)
+        assert sorted(map(tuple, found.collect())) == [(i, None if i % 3 else f"w{i}", 7 + (0 if i % 2 else i)) for i in range(30)]
+    assert "_block" not in found._jdf.queryExecution().toString()
