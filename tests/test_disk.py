@@ -12,7 +12,7 @@ from chatterloom.operators import segment as S
 from chatterloom.operators import tokenize as M
 from chatterloom.operators import topic_fit as T
 from chatterloom.operators import topics as P
-from chatterloom.operators.scale import cut_lineage, discard, kept_table, with_entries
+from chatterloom.operators.scale import broadcast_if_small, cut_lineage, discard, kept_table, with_entries
 from chatterloom.session import ensure_checkpoint_dir
 from tests.test_topic_fit import corpus, table
 
@@ -85,6 +85,16 @@ def test_tokens_move_packed_to_their_dates(spark):
     )
 
 
+def test_frequencies_that_are_counted_leave_no_shuffle_files(spark):
+    freq = spark.range(100).groupBy((F.col("id") % 50).alias("k")).count()
+    before = shuffle_files(spark)
+    broadcast_if_small(freq, 5)
+    end = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.1)
+    assert not left
+
+
 def test_choices_are_resolved_without_rows_for_their_words(spark):
     listed = spark.createDataFrame([(i, c, ws) for i in range(9) for c, ws in enumerate([["a b", "c"], ["a", "b c", "d"], []])], "id long, choice int, words array<string>")
     freq = spark.createDataFrame([("a b", i) for i in range(4)] + [("b c", 9), ("z", None)], "word string, freq long")
