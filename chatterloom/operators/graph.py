@@ -341,16 +341,16 @@ def transitive_closure(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Reflexive transitive closure ``src, dst``; each round extends only the pairs found last."""
     links = cut_lineage(edges.select("src", "dst").distinct())
     own = vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    fresh = cut_lineage(own)
+    fresh = kept_table(own)
     found = [fresh]
     while True:
         step = fresh.select("src", F.col("dst").alias("_mid")).join(links.select(F.col("src").alias("_mid"), "dst"), "_mid")
-        fresh = cut_lineage(step.select("src", "dst").distinct().join(_gather(found), ["src", "dst"], "left_anti"))
+        fresh = kept_table(step.select("src", "dst").distinct().join(_gather(found), ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return _gather(found)
         found.append(fresh)
         if len(found) > LEVELS_PER_FILE_SET:
-            found = [cut_lineage(_gather(found))]
+            found = [kept_table(_gather(found))]
 
 
 def projectivity(vertices: DataFrame, edges: DataFrame) -> DataFrame:

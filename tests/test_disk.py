@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from chatterloom.operators import graph as G
 from chatterloom.operators import segment as S
 from chatterloom.operators import tokenize as M
 from chatterloom.operators import topic_fit as T
@@ -117,3 +118,13 @@ def test_blocks_and_lookups_move_compressed(spark):
         found = with_entries(rows, F.lit(1), F.col("words"), entries, work, rows.select("id", "name", F.lit(1).cast("long").alias("n")).schema, chars, bucket_chars=bucket)
         assert sorted(map(tuple, found.collect())) == [(i, None if i % 3 else f"w{i}", 7 + (0 if i % 2 else i)) for i in range(30)]
     assert "_block" not in found._jdf.queryExecution().toString()
+
+
+def test_closure_keeps_compressed_tables_only(spark):
+    """One checkpoint for the links, none for a round."""
+    vertices = spark.range(7)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long")
+    before = cut_tables(spark)
+    pairs = G.transitive_closure(vertices, edges)
+    assert len(cut_tables(spark) - before) <= 1
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in range(7) for b in range(a, 7)]
